@@ -1,0 +1 @@
+"""Column functions: text, numbers, places, classification."""

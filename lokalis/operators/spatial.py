@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lokalis.runtime import ship
+from lokalis.runtime import ship, spread
 
 EARTH_M = 6_371_008.8
 BITS = 26  # cells of about 0.8 m; a code has 52 bits
@@ -271,7 +271,7 @@ def _matched(both: DataFrame, match, schema: str) -> DataFrame:
         got = list(parts)
         yield from (x[names] for x in match(pd.concat(got)))
 
-    return both.groupBy("stretch", "salt").applyInPandas(run, schema)
+    return spread(both, "stretch", "salt").groupBy("stretch", "salt").applyInPandas(run, schema)
 
 
 def points_in_boxes(points: DataFrame, boxes: DataFrame, id_col: str = "id", lat: str = "lat", lng: str = "lng", box_id: str = "box_id", rows_each: int = STRETCH_ROWS) -> DataFrame:

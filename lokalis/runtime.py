@@ -52,3 +52,8 @@ def parallelism(spark: SparkSession) -> int:
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One of the driver's parquet tables."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows by key in as many tasks as the session has; adaptive execution would join small but slow groups into few tasks."""
+    return df.repartition(parallelism(df.sparkSession), *keys)

@@ -1,0 +1 @@
+"""Readers of captured tables, screens, pages and answers."""
