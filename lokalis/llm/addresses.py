@@ -30,7 +30,7 @@ from lokalis.llm.edits import osa
 from lokalis.llm.lookalikes import bare, fold
 from lokalis.llm.name_variants import town_words
 from lokalis.llm.names import near_word
-from lokalis.runtime import ship
+from lokalis.runtime import ship, spread
 
 GROUP_ROWS = 20_000
 BANDS, BAND_ROWS = 32, 2
@@ -256,7 +256,7 @@ def link_addresses(rows: DataFrame, towns: DataFrame, group_rows: int = GROUP_RO
         got = match_addresses(list(zip(p.id.astype("int64"), p.address, city)), frozenset() if key[0] in large else towns_here, int(key[1]), large.get(key[0], 1))
         return pd.DataFrame(got, columns=["id_a", "id_b", "confidence"])
 
-    got = both.groupBy("grp", "salt").applyInPandas(match, "id_a long, id_b long, confidence double")
+    got = spread(both, "grp", "salt").groupBy("grp", "salt").applyInPandas(match, "id_a long, id_b long, confidence double")
     return got.dropDuplicates(["id_a", "id_b"]) if large else got
 
 

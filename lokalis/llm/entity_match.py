@@ -29,7 +29,7 @@ from lokalis.llm.lookalikes import bare, fold
 from lokalis.llm.name_variants import all_keys, branch_words, extra_keys, index_keys, needed, sound_keys
 from lokalis.llm.names import parse, same_name
 from lokalis.operators.spatial import EARTH_M, great_circle_np, usable_point
-from lokalis.runtime import cut, ship
+from lokalis.runtime import cut, ship, spread
 
 REACH = 900.0  # metres within which a page and an element may be one place
 COARSE = {"nominatim"}  # sources whose points may lie hundreds of metres off
@@ -171,7 +171,7 @@ def candidates(venues: DataFrame, elements: DataFrame, group_rows: int = GROUP_R
         got = list(near_pairs(home, all_, known, int(key[1]), large.get(key[0], 1)))
         return pd.DataFrame(got, columns=["kind", "a", "b", "theta"])
 
-    got = rows.groupBy("cell", "salt").applyInPandas(match, EDGE)
+    got = spread(rows, "cell", "salt").groupBy("cell", "salt").applyInPandas(match, EDGE)
     return got.groupBy("kind", "a", "b").agg(F.max("theta").alias("theta"))
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lokalis.llm.token_count import Counter
-from lokalis.runtime import cut, ship
+from lokalis.runtime import cut, ship, spread
 
 SHARD_TEXTS = 20_000
 PLACED = "pack_no long, container long, doc_id long, piece int, start_token long, tokens long"
@@ -119,4 +119,4 @@ def pack_documents(documents: DataFrame, sizes: DataFrame, doc_id: str = "doc_id
             box += 1
         return pd.DataFrame(rows, columns=["pack_no", "container", "doc_id", "piece", "start_token", "tokens"])
 
-    return each.groupBy("pack_no", "capacity", "shard").applyInPandas(run, PLACED)
+    return spread(each, "pack_no", "capacity", "shard").groupBy("pack_no", "capacity", "shard").applyInPandas(run, PLACED)
