@@ -23,10 +23,11 @@ from pyspark.sql import functions as F
 
 from lokalis.llm.edits import osa
 from lokalis.llm.lookalikes import bare, fold
-from lokalis.runtime import cut, ship
+from lokalis.runtime import cut, ship, spread
 
 MIN_JACCARD = 0.3
 NO_ENTRY = -1
+LIST_BOUND = 20_000
 # Short forms in place names.
 SHORT = {"st": "saint", "st.": "saint", "ste": "saint", "ste.": "saint", "mt": "mount", "mt.": "mount", "pt": "port", "pt.": "port", "nth": "north", "upr": "upper", "up": "upper", "up.": "upper", "jct": "junction", "jn": "junction", "jctn": "junction", "hth": "heath", "o/sea": "on sea", "nr": "near", "gt": "greater"}
 # Words around a place name that do not belong to it.
@@ -157,8 +158,11 @@ def map_lines(refs: DataFrame, entries: DataFrame, line: str = "city", group: st
 
     read = lines.select("line").distinct().mapInPandas(parse, "line string, text string, written array<string>")
     # A reading is looked up once, however many lines have it.
-    texts = _tokenised(read.select("text").distinct(), rarity, "text string")
-    a, b = _heads(texts).alias("a"), _heads(names).alias("b")
+    read = cut(read)
+    texts = spread(_tokenised(read.select("text").distinct(), rarity, "text string"), "text")
+    # A list of up to LIST_BOUND spellings goes to every task, a longer one is shuffled by token.
+    sent = F.broadcast if names.count() <= LIST_BOUND else lambda df: df
+    a, b = _heads(texts).alias("a"), sent(_heads(names)).alias("b")
     na, nb = F.size("a.tokens"), F.size("b.tokens")
     t = F.lit(MIN_JACCARD)
     need = F.ceil(t / (t + 1) * (na + nb))
@@ -180,6 +184,7 @@ def map_lines(refs: DataFrame, entries: DataFrame, line: str = "city", group: st
         .withColumn("edits", _edits(F.col("text"), F.col("entry"))).where(F.col("edits") <= allowed)
         .select("text", "city_id", "country", "region", "jaccard", "edits", size.alias("size"))
     )
+    met = cut(met)
     # The place in a line is what is closest; of two exact readings the longer one (district and city, "Upper" behind a comma).
     score = F.struct((-F.col("edits")).alias("e"), F.col("size"), F.col("jaccard"))
     cand = read.join(met, "text").withColumn("score", score)
