@@ -237,7 +237,7 @@ def link_addresses(rows: DataFrame, towns: DataFrame, group_rows: int = GROUP_RO
     both = base.where(~hot).unionByName(extra) if large else base.unionByName(extra)
     if large:
 
-        def spread(parts):
+        def salted(parts):
             for p in parts:
                 out = []
                 for i, g, a, c in zip(p.id, p.grp, p.address, p.city):
@@ -246,7 +246,7 @@ def link_addresses(rows: DataFrame, towns: DataFrame, group_rows: int = GROUP_RO
                 yield pd.DataFrame(out, columns=["id", "grp", "address", "city", "salt"])
 
         # Towns are not taken out of the words before salting, so each record keeps one parse: the one without towns.
-        both = both.unionByName(base.where(hot).drop("salt").mapInPandas(spread, f"id long, grp {kind}, address string, city string, salt int"))
+        both = both.unionByName(base.where(hot).drop("salt").mapInPandas(salted, f"id long, grp {kind}, address string, city string, salt int"))
 
     def match(key: tuple[Any, ...], p: pd.DataFrame) -> pd.DataFrame:
         is_town = p.id.isna()
