@@ -53,7 +53,7 @@ def part_kind(category: Column, vocabulary: dict[str, list[str]] | None = None)
     parts = category_parts(category)
     out = F.struct(F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("part"))
     for kind, ps in reversed((vocabulary or KEEP_PARTS).items()):
-        hits = F.filter(parts, lambda p, ps=ps: p.isin(ps))
+        hits = F.filter(parts, lambda p: p.isin(ps))  # noqa: B023 - evaluated at once
         out = F.when(F.size(hits) > 0, F.struct(F.lit(kind).alias("kind"), F.element_at(hits, 1).alias("part"))).otherwise(out)
     return out
 

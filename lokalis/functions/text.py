@@ -184,7 +184,7 @@ def retry_after_seconds(header: Column, now: Column, fallback: float) -> Column:
     """Seconds or an HTTP date as seconds from `now`; the fallback for anything else."""
     h = F.trim(header)
     at = F.unix_timestamp(F.try_to_timestamp(F.regexp_replace(F.regexp_replace(h, "^[A-Za-z]+, *", ""), " GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss")))
-    return F.coalesce(F.when(h.rlike("^[0-9]+$"), h.cast("double")), F.greatest(F.lit(0.0), (at - now).cast("double")), F.lit(float(fallback)))
+    return F.coalesce(F.when(h.rlike("^[0-9]+$"), h.cast("double")), F.when(at.isNotNull(), F.greatest(F.lit(0.0), (at - now).cast("double"))), F.lit(float(fallback)))
 
 
 def or_na(c: Column) -> Column:

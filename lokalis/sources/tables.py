@@ -18,8 +18,9 @@ def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFra
 
 
 def with_columns(df: DataFrame, names: list[str]) -> DataFrame:
-    """`df` with the missing ones of `names` as NULL text."""
-    return df.withColumns({n: F.lit(None).cast("string") for n in names if n not in df.columns})
+    """`df` with the missing ones of `names` (case ignored) as NULL text."""
+    there = {c.lower() for c in df.columns}
+    return df.withColumns({n: F.lit(None).cast("string") for n in names if n.lower() not in there})
 
 
 def typed(rows: DataFrame) -> DataFrame:
@@ -45,9 +46,9 @@ def any_table(spark: SparkSession, path: str) -> DataFrame:
 
 def place_pairs(spark: SparkSession, path: str) -> DataFrame:
     """(name, address) with the city behind the address unless it is named there; the city alone without an address."""
-    df = with_columns(read_csv(spark, path), ["name", "Name", "address", "Address", "city"])
+    df = with_columns(read_csv(spark, path), ["name", "address", "city"])
     some = lambda *cs: F.coalesce(*(F.nullif(F.trim(c), F.lit("")) for c in cs))
-    rows = df.select(some("name", "Name").alias("name"), some("address", "Address").alias("address"), some("city").alias("city")).where("name is not null")
+    rows = df.select(some("name").alias("name"), some("address").alias("address"), some("city").alias("city")).where("name is not null")
     whole = F.when(F.contains(F.lower("address"), F.lower("city")), F.col("address")).otherwise(F.nullif(F.concat_ws(", ", "address", "city"), F.lit("")))
     return rows.select("name", whole.alias("address"))
 
@@ -57,7 +58,9 @@ def label_sheet(spark: SparkSession, path: str) -> DataFrame:
     df = read_csv(spark, path)
     broken = df.where(F.concat_ws("", *df.columns).contains("�")).limit(1).count()
     if broken:
-        df = read_csv(spark, path, "windows-1252")
+        df = read_csv(spark, path, "ISO-8859-1")  # the same but for the bytes 128 to 159
+        codes = [b for b in range(128, 160) if bytes([b]).decode("cp1252", "ignore")]
+        df = df.withColumns({c: F.translate(c, "".join(map(chr, codes)), bytes(codes).decode("cp1252")) for c in df.columns})
     sizes = df.groupBy("_stratum").agg(F.count_distinct("_stratum_size").alias("k"), F.count_if(~F.coalesce(F.col("_stratum_size").rlike("^[0-9]+$"), F.lit(False))).alias("bad"))
     wrong = [r["_stratum"] for r in sizes.where("k <> 1 or bad > 0").limit(20).collect()]
     if wrong:
