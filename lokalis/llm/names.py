@@ -46,6 +46,7 @@ LATIN = {
     **dict(zip("アイウエオカクスズトドンハフブプビピムリルワヴヤジグ", "aiueokksztdnhfbpbpmrlvvijg")),
 }
 PIECE = re.compile(r"[^\W_]+(?:['`’][^\W_]+)*")
+LAST_PART = re.compile(r"\s[-–—@]\s*([^\W\d_]{4,})$")
 BRANCH = re.compile(r"\s+[-–—@]\s*|\s*[-–—@]\s+|\s*[,(]\s*|\)\s*")
 
 
@@ -143,7 +144,10 @@ def parse(name: str, branches: frozenset = frozenset(), places: frozenset = froz
     """Take a name apart. `branches`: words known to name branches; `places`: words of the towns around."""
     text = bare(fold(name)).replace("’", "'")
     text = re.sub(r"\b(?:[a-z]\.){2,}", lambda m: m[0].replace(".", "") + " ", text)
-    parts = [p for p in BRANCH.split(text) if p]
+    said = LAST_PART.search(text)
+    if said and kind_of(said[1], False):
+        said = None
+    parts = [p for p in BRANCH.split(text[: said.start()] if said else text) if p]
     words: list[str] = []
     for p in parts:
         for w in PIECE.findall(p):
@@ -152,7 +156,7 @@ def parse(name: str, branches: frozenset = frozenset(), places: frozenset = froz
                 words += unglue(x) if x.isascii() else (x,)
     core: list[str] = []
     kinds: set[str] = set()
-    branch, native, foreign = "", False, []
+    branch, native, foreign = (near_word(said[1], branches) or said[1]) if said else "", False, []
     for i, w in enumerate(words):
         last = i == len(words) - 1
         if w in IGNORED:
