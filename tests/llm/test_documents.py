@@ -107,7 +107,7 @@ def sentence(rnd):
 
 def test_junk_pages(spark):
     rnd = random.Random(7)
-    prose = [" ".join(sentence(rnd) for _ in range(rnd.randint(4, 12))) for _ in range(120)]
+    prose = [" ".join(sentence(rnd) for _ in range(rnd.randint(12, 25))) for _ in range(120)]
     words = ["cheap beer", "top pubs", "beer deals", "taproom near me", "best beer"]
     junk = [
         " ".join(f"{rnd.choice(words)} {rnd.choice(['Oakton', 'Elmville', 'Ashby'])}" for _ in range(60)), " ".join("#" + rnd.choice(words).replace(" ", "") for _ in range(60)),
