@@ -111,9 +111,11 @@ def look_key(word: str) -> str:
 
 def cut_value(value: str) -> tuple[list[str], list[str], int]:
     """(text before each odd word and after the last, odd words, stand-ins outside of words)."""
-    seps, words, n = [""], [], 0
+    seps, words = [""], []
+    composed = unicodedata.normalize("NFC", value)
+    n, value = int(composed != value), composed
     for i, part in enumerate(SPLIT.split(value)):
-        if i % 2 and not part.isascii() and (any(kind(c) != "other" and kind(c) != "plain" for c in part) or unicodedata.normalize("NFC", part) != part):
+        if i % 2 and not part.isascii() and any(kind(c) != "other" and kind(c) != "plain" for c in part):
             words.append(part)
             seps.append("")
         elif i % 2:
