@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lokalis.functions import classify, geo, text
-from lokalis.operators import aggregates, fit, matching, sequences, sets
+from lokalis.operators import aggregates, fit, harvest, matching, sequences, sets
 from lokalis.runtime import table
+from lokalis.sinks import maps
 
 c = F.col
 DISTANCE = "2 * {r} * asin(least(1.0, sqrt(pow(sin(radians({b}.lat - {a}.lat) / 2), 2) + cos(radians({a}.lat)) * cos(radians({b}.lat)) * pow(sin(radians({b}.lng - {a}.lng) / 2), 2))))"
@@ -371,3 +372,36 @@ def f_anchored_cells(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "resolutions").select("res_id", "sweep_no", "cell", "lat", "lng")
     m = _resolved_pins(spark, d).select("sweep_no", "cell", c("pin_lat").alias("lat"), c("pin_lng").alias("lng"), c("page_lat").alias("known_lat"), c("page_lng").alias("known_lng"))
     return fit.anchored_cells(r, m, F.lit(46.6), F.lit(-1.0), ["sweep_no"])
+
+
+@query(f"""with {PINS}, d as (select a.sweep_no, sqrt(pow(a.pin_lng - b.pin_lng, 2) + pow(a.pin_lat - b.pin_lat, 2)) as px, sqrt(pow(a.page_lng - b.page_lng, 2) + pow(a.page_lat - b.page_lat, 2)) as m
+    from pins a join pins b on a.sweep_no = b.sweep_no and a.res_id < b.res_id), s as (select distinct sweep_no from pins)
+    select s.sweep_no, round(w.scale, 5) as scale from s left join (select sweep_no, arg_max(m / px, px) as scale from d where px >= 0.001 group by 1) w using (sweep_no)""")
+def f_widest_scale(spark: SparkSession, d: str) -> DataFrame:
+    """Page distance over pin distance of the pins farthest apart in each sweep (degrees times a thousand as pixels)."""
+    p = _resolved_pins(spark, d).select("sweep_no", (c("pin_lng") * 1000).alias("x"), (c("pin_lat") * 1000).alias("y"), (c("page_lng") * 1000).alias("e"), (c("page_lat") * 1000).alias("n"))
+    return fit.widest_scale(p, ["sweep_no"]).select("sweep_no", F.round("m_per_px", 5).alias("scale"))
+
+
+@query()
+def h_harvest(spark: SparkSession, d: str) -> DataFrame:
+    """What an adaptive harvest of the busiest metropolitan area finds of its pages."""
+    v = table(spark, d, "venues").where(PLACED).select("venue_key", "name", "total", "lat", "lng")
+    rows, _ = harvest.quadtree_harvest(v, (-1.1, -0.9, 46.5, 46.7), key="venue_key")
+    return rows
+
+
+@query("""with c as (select city_id, metro_lat as y, metro_lng as x from cities) select v.venue_key, c.city_id as polygon from venues v join c on v.lat is not null and v.lng is not null and not (v.lat = 0 and v.lng = 0)
+    and abs(v.lat) <= 90 and abs(v.lng) <= 180 and abs(v.lat - y) / 0.1 + abs(v.lng - x) / 0.15 < 1""")
+def h_polygons(spark: SparkSession, d: str) -> DataFrame:
+    """Pages inside a diamond around each metropolitan centre."""
+    y, x = c("metro_lat"), c("metro_lng")
+    rings = table(spark, d, "cities").select(c("city_id").alias("polygon"), F.lit(0).alias("ring"), F.array(y + 0.1, y, y - 0.1, y).alias("lat"), F.array(x, x + 0.15, x, x - 0.15).alias("lng"))
+    return harvest.in_polygons(table(spark, d, "venues"), rings, "venue_key")
+
+
+@query()
+def k_features(spark: SparkSession, d: str) -> DataFrame:
+    """Every placed page as a GeoJSON feature, a KML placemark and a GPX waypoint."""
+    v = maps.located(table(spark, d, "venues")).withColumn("unique", c("uniques")).withColumn("url", F.lit(""))
+    return v.select("venue_key", maps.feature().alias("geojson"), maps.placemark().alias("kml"), maps.waypoint().alias("gpx"))
