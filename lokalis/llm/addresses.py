@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lokalis.llm.canonical_list import SHORT, TWO
+from lokalis.llm.canonical_list import AROUND, SHORT, TWO
 from lokalis.llm.edits import osa
 from lokalis.llm.lookalikes import bare, fold
 from lokalis.llm.name_variants import town_words
@@ -58,10 +58,12 @@ TOKEN = re.compile(r"[^\W_]+")
 
 
 class Address:
-    __slots__ = ("number", "words", "kinds", "town")
+    """`unsure`: the town's line has a short word that is no known town word, so a word of its name may be mistyped."""
 
-    def __init__(self, number: str, words: tuple[str, ...], kinds: frozenset, town: frozenset):
-        self.number, self.words, self.kinds, self.town = number, words, kinds, town
+    __slots__ = ("number", "words", "kinds", "town", "unsure")
+
+    def __init__(self, number: str, words: tuple[str, ...], kinds: frozenset, town: frozenset, unsure: bool = False):
+        self.number, self.words, self.kinds, self.town, self.unsure = number, words, kinds, town, unsure
 
 
 @lru_cache(maxsize=100_000)
@@ -81,12 +83,24 @@ def town_of(words: list[str], towns: frozenset) -> list[str]:
     return [near_word(SHORT.get(w, w), towns) for w in words if len(SHORT.get(w, w)) >= 3 and not w.isdigit()]
 
 
-def town_key(line: str | None, towns: frozenset) -> frozenset:
-    """The town's words that a line names; empty if it names none, or with a short form of two meanings."""
+@lru_cache(maxsize=100_000)
+def town_key(line: str | None, towns: frozenset) -> tuple[frozenset, bool]:
+    """The town's words that a line names, and whether a short word of it may be a mistyped one; empty with a short form of two meanings."""
     if not line or not towns:
-        return frozenset()
+        return frozenset(), False
     words = TOKEN.findall(bare(fold(line)))
-    return frozenset() if any(w in TWO for w in words) else frozenset(w for w in town_of(words, towns) if w)
+    if any(w in TWO for w in words):
+        return frozenset(), False
+    got = town_of(words, towns)
+    odd = any(not t and len(w) <= 5 and w not in AROUND for w, t in zip((w for w in words if len(SHORT.get(w, w)) >= 3 and not w.isdigit()), got)) or any(len(w) == 2 and w.isalpha() and w != "on" and w not in SHORT for w in words)
+    return frozenset(w for w in got if w), odd
+
+
+def towns_agree(x: Address, y: Address) -> bool:
+    """Whether the towns do not contradict each other."""
+    if not x.town or not y.town or x.town == y.town:
+        return True
+    return x.unsure and x.town < y.town or y.unsure and y.town < x.town
 
 
 def parse(address: str, city: str | None, towns: frozenset) -> Address | None:
@@ -105,7 +119,8 @@ def parse(address: str, city: str | None, towns: frozenset) -> Address | None:
             town.update(in_town)
             toks = [t for t in toks if t.isdigit() and len(t) < 5]
         for i, t in enumerate(toks):
-            if t.isdigit() and len(t) >= 5 or t in MARK or t in SKIP:
+            lane = t == "la" and i > 0 and toks[i - 1] not in SKIP and toks[i - 1] not in KINDS_OF and not toks[i - 1].isdigit()
+            if t.isdigit() and len(t) >= 5 or t in MARK or t in SKIP and not lane:
                 continue
             m = NUMBER.match(t)
             if m:
@@ -134,7 +149,8 @@ def parse(address: str, city: str | None, towns: frozenset) -> Address | None:
             words = rest
     if not number or not words:
         return None
-    return Address(number, tuple(words), kinds, frozenset(town) or town_key(city, towns))
+    own, unsure = (frozenset(town), False) if town else town_key(city, towns)
+    return Address(number, tuple(words), kinds, own, unsure)
 
 
 def shingles(words: tuple[str, ...]) -> set[str]:
@@ -191,7 +207,7 @@ def align(a: tuple[str, ...], b: tuple[str, ...]) -> float:
 
 def same_place(x: Address, y: Address) -> float:
     """Confidence in (0, 1] that two addresses are of one place; 0 if not."""
-    if x.number != y.number or (x.town and y.town and x.town != y.town):
+    if x.number != y.number or not towns_agree(x, y):
         return 0.0
     if x.kinds and y.kinds and not x.kinds & y.kinds:
         return 0.0

@@ -31,7 +31,7 @@ LIST_BOUND = 20_000
 # Short forms in place names.
 SHORT = {"st": "saint", "st.": "saint", "ste": "saint", "ste.": "saint", "mt": "mount", "mt.": "mount", "pt": "port", "pt.": "port", "nth": "north", "upr": "upper", "up": "upper", "up.": "upper", "jct": "junction", "jn": "junction", "jctn": "junction", "hth": "heath", "o/sea": "on sea", "nr": "near", "gt": "greater"}
 # Words around a place name that do not belong to it.
-AROUND = {"near", "greater", "city", "of", "town", "centre", "center", "area", "region", "municipality", "metro", "in", "the", "at", "by", "outskirts", "downtown", "central", "stadt", "surroundings", "and", "ville"}
+AROUND = {"near", "greater", "city", "of", "town", "centre", "center", "area", "region", "municipality", "metro", "in", "the", "at", "by", "outskirts", "downtown", "central", "stadt", "surroundings", "and", "ville", "docks", "mitte", "quarter"}
 # Short forms with two meanings.
 TWO = {"n.": ("north", "new"), "n": ("north", "new"), "s.": ("saint", "south"), "s": ("saint", "south")}
 PART = re.compile(r"\s*(?:[,;/|()\[\]@•·]|\s-\s|\s–\s|\s>\s)\s*")
