@@ -202,3 +202,9 @@ def first_phrase(text: Column, phrases: list[str]) -> Column:
     """The first of `phrases` that a text contains, case ignored."""
     hits = F.filter(F.array(*map(F.lit, phrases)), lambda p: F.contains(F.lower(text), p))
     return F.when(F.size(hits) > 0, F.element_at(hits, 1))
+
+
+def request_key(url: Column, params: Column, length: int = 64) -> Column:
+    """Fingerprint of a request: SHA-256 of its address and its parameters (a map) in the order of their names."""
+    query = F.array_join(F.transform(F.array_sort(F.map_entries(params)), lambda e: F.concat(e["key"], F.lit("="), F.url_encode(e["value"]))), "&")
+    return F.substring(F.sha2(F.concat(url, F.when(F.size(params) > 0, F.concat(F.lit("?"), query)).otherwise(F.lit(""))), 256), 1, length)

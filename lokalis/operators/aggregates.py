@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lokalis.operators.sets import top_rows
+
 
 def quality_share(df: DataFrame, good: Column) -> DataFrame:
     """(rows, share): rows and the share of them that are good; the share of no rows is NULL."""
@@ -53,11 +55,8 @@ def stratified_sample(df: DataFrame, stratum: str, key: str, quota: int, seed: i
     """
     rank = F.xxhash64(F.lit(seed), F.col(key))
     sizes = df.groupBy(stratum).agg(F.count("*").alias("_stratum_size"))
-    rows = df.withColumn("_rank", rank).withColumn("_part", F.spark_partition_id())
-    local = Window.partitionBy("_part", stratum).orderBy("_rank", key)
-    mine = rows.withColumn("_n", F.row_number().over(local)).where(F.col("_n") <= quota)
-    final = Window.partitionBy(stratum).orderBy("_rank", key)
-    return mine.withColumn("_n", F.row_number().over(final)).where(F.col("_n") <= quota).join(sizes, stratum).drop("_rank", "_part", "_n")
+    best = top_rows(df.withColumn("_rank", rank), [stratum], [F.col("_rank"), F.col(key)], quota)
+    return best.join(sizes, stratum).drop("_rank", "_pos")
 
 
 def weighted_rate(rows: DataFrame, stratum: str, size: str, answered: Column, wrong: Column) -> DataFrame:

@@ -116,8 +116,7 @@ def anchored_cells(swept: DataFrame, matched: DataFrame, lat0: Column, lng0: Col
     on = cells["cell"].eqNullSafe(shift["cell"])
     for c in by:
         on = on & cells[c].eqNullSafe(shift[c])
-    order = [F.col("cell").asc_nulls_last()]
-    measured = carried_forward(cells.join(shift, on, "left").select(*(cells[c] for c in by), cells["cell"], "shift"), "shift", order, by)
+    measured = carried_forward(cells.join(shift, on, "left").select(*(cells[c] for c in by), cells["cell"], "shift"), "shift", ["cell"], by)
     state = F.when(F.col("shift").isNotNull(), "anchored").when(F.col("carried").isNotNull(), "carried").otherwise("unmeasured")
     track = measured.select(*(F.col(c).alias(f"_{c}") for c in by), F.col("cell").alias("_cell"), F.col("carried").alias("_s"), state.alias("anchor"))
     on = swept["cell"].eqNullSafe(track["_cell"])

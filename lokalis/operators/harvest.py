@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lokalis.functions.geo import quarters
+from lokalis.functions.geo import haversine_km, quarters
+from lokalis.operators.sets import top_rows
 from lokalis.operators.spatial import points_in_boxes
 
 CAP, FULL = 60, 55
@@ -25,8 +26,7 @@ def quadtree_harvest(points: DataFrame, cell: tuple[float, float, float, float],
     for depth in range(max_depth + 1):
         inside = F.col("lng").between(F.col("left"), F.col("right")) & F.col("lat").between(F.col("bottom"), F.col("top"))
         got = points.join(F.broadcast(level), inside)
-        w = Window.partitionBy("path").orderBy(F.desc_nulls_last(popularity), key)
-        got = got.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= cap)
+        got = top_rows(got, ["path"], [F.desc_nulls_last(popularity), F.col(key)], cap)
         found.append(got.select(*points.columns, "path"))
         counts = got.groupBy("path").agg(F.count("*").alias("n"))
         asked = level.join(counts, "path", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("depth", F.lit(depth)).withColumn("cut_off", F.col("n") >= full)
@@ -52,3 +52,28 @@ def in_polygons(points: DataFrame, rings: DataFrame, key: str = "id") -> DataFra
     near = held.join(points.select(key, F.col("lat").alias("y"), F.col("lng").alias("x")), key)
     crosses = ((F.col("lat") > F.col("y")) != (F.col("lat2") > F.col("y"))) & (F.col("x") < (F.col("lng2") - F.col("lng")) * (F.col("y") - F.col("lat")) / F.when(F.col("lat2") != F.col("lat"), F.col("lat2") - F.col("lat")) + F.col("lng"))
     return near.join(edges, "polygon").groupBy(key, "polygon").agg(F.count_if(crosses).alias("k")).where("k % 2 = 1").select(key, "polygon")
+
+
+def nearest_names(points: DataFrame, lat0: float, lng0: float, radius_km: float, limit: int = 60) -> DataFrame:
+    """(name, km): the nearest distinct names around a point, case ignored; `limit` is the feature."""
+    km = haversine_km(F.lit(lat0), F.lit(lng0), F.col("lat"), F.col("lng"))
+    near = points.where(F.trim("name") != "").withColumn("km", km).where(F.col("km") <= radius_km)
+    return near.groupBy(F.lower("name").alias("_k")).agg(F.min_by("name", F.struct("km", "name")).alias("name"), F.min("km").alias("km")).orderBy("km", "_k").limit(limit).select("name", "km")
+
+
+def harvested(results: DataFrame, variant: str, key: str, order: list[str], in_place: Column, top: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """(rows, stats) of searches by several spellings: the first `top` of each spelling, each key once, rows of other places left out.
+
+    stats: variant, total, collected, other_place. A key that several spellings found is credited to the first spelling.
+    """
+    ranked = top_rows(results, [variant], [F.col(o) for o in order], top).withColumn("_in", F.coalesce(in_place, F.lit(False)))
+    total = results.groupBy(variant).agg(F.count("*").alias("total"))
+    counts = ranked.groupBy(variant).agg(F.count_if("_in").alias("collected"), F.count_if(~F.col("_in")).alias("other_place"))
+    kept = ranked.where("_in").groupBy(key).agg(F.min_by(F.struct(*results.columns), F.struct(variant, "_pos")).alias("r")).select("r.*")
+    return kept, total.join(counts, variant)
+
+
+def counted_in_box(places: DataFrame, south: float, north: float, west: float, east: float, by: str) -> DataFrame:
+    """(by, places) inside a box; the bounds reach the scan, so row groups outside are not read."""
+    inside = F.col("lat").between(south, north) & F.col("lng").between(west, east)
+    return places.where(inside).groupBy(by).agg(F.count("*").alias("places"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lokalis.functions.text import row_key
@@ -44,3 +44,10 @@ def run_diff(before: DataFrame, after: DataFrame, key: str, fields: list[str]) -
     pairs = F.filter(F.array(*(F.struct(F.lit(f).alias("key"), F.struct(F.col(f"b.{f}").alias("before"), F.col(f"a.{f}").alias("after")).alias("value")) for f in fields)), lambda e: e["value"]["before"] != e["value"]["after"])
     change: Column = F.when(F.col("b").isNull(), "new").when(F.col("a").isNull(), "gone").when(F.size(pairs) > 0, "changed")
     return j.select(key, change.alias("change"), F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), F.map_from_entries(pairs)).alias("deltas")).where("change is not null")
+
+
+def top_rows(df: DataFrame, by: list[str], order: list[Column], n: int, position: str = "_pos") -> DataFrame:
+    """The first `n` rows of each group, with their position; each task keeps its own first rows before they are shuffled."""
+    parts = df.withColumn("_part", F.spark_partition_id())
+    mine = parts.withColumn(position, F.row_number().over(Window.partitionBy("_part", *by).orderBy(*order))).where(F.col(position) <= n)
+    return mine.withColumn(position, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(position) <= n).drop("_part")

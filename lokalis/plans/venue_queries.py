@@ -271,7 +271,7 @@ def a_status_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""select res_id, last_value(venue_id ignore nulls) over (partition by sweep_no order by cell nulls last, res_id rows between unbounded preceding and current row) as carried from resolutions""")
 def w_carried_forward(spark: SparkSession, d: str) -> DataFrame:
-    return sequences.carried_forward(table(spark, d, "resolutions"), "venue_id", [c("cell").asc_nulls_last(), c("res_id")], ["sweep_no"]).select("res_id", "carried")
+    return sequences.carried_forward(table(spark, d, "resolutions"), "venue_id", ["cell", "res_id"], ["sweep_no"]).select("res_id", "carried")
 
 
 @query("""with e as (select *, case when event_type = 'error' then 1 else 0 end as bad, sum(case when event_type = 'error' then 0 else 1 end) over (partition by user_id order by ts, event_id rows unbounded preceding) as island from events)
@@ -405,3 +405,27 @@ def k_features(spark: SparkSession, d: str) -> DataFrame:
     """Every placed page as a GeoJSON feature, a KML placemark and a GPX waypoint."""
     v = maps.located(table(spark, d, "venues")).withColumn("unique", c("uniques")).withColumn("url", F.lit(""))
     return v.select("venue_key", maps.feature().alias("geojson"), maps.placemark().alias("kml"), maps.waypoint().alias("gpx"))
+
+
+@query("""select res_id, substr(sha256('https://search.example/v?page=' || cast(cell as varchar) || '&sweep=' || cast(sweep_no as varchar)), 1, 32) as key from resolutions""")
+def t_request_key(spark: SparkSession, d: str) -> DataFrame:
+    params = F.create_map(F.lit("sweep"), c("sweep_no").cast("string"), F.lit("page"), c("cell").cast("string"))
+    return table(spark, d, "resolutions").select("res_id", text.request_key(F.lit("https://search.example/v"), params, 32).alias("key"))
+
+
+@query(f"""with o as (select 46.6 as lat, -1.0 as lng), k as (select v.name, {DISTANCE.format(r=6371.0088, a='o', b='v')} as km from osm_venues v, o where v.name <> '' and regexp_matches(v.name, '[^ ]'))
+    select arg_min(name, km) as name, round(min(km), 6) as km from k where km <= 8 group by lower(name) order by min(km), lower(name) limit 60""")
+def h_nearest_names(spark: SparkSession, d: str) -> DataFrame:
+    return harvest.nearest_names(table(spark, d, "osm_venues"), 46.6, -1.0, 8.0).withColumn("km", F.round("km", 6))
+
+
+@query("""with r as (select *, row_number() over (partition by search_term order by page_no, ref_id) as pos from venue_refs), k as (select *, coalesce(contains(lower(city), substr(search_term, 1, 5)), false) as here from r where pos <= 1000)
+    select search_term, any_value(total) as total, count(case when here then 1 end) as collected, count(case when not here then 1 end) as other_place from k join (select search_term, count(*) as total from venue_refs group by 1) t using (search_term) group by 1""")
+def h_harvest_stats(spark: SparkSession, d: str) -> DataFrame:
+    here = F.contains(F.lower("city"), F.substring("search_term", 1, 5))
+    return harvest.harvested(table(spark, d, "venue_refs"), "search_term", "venue_id", ["page_no", "ref_id"], here)[1]
+
+
+@query("select city, count(*) as places from venues where lat between 46.5 and 46.7 and lng between -1.1 and -0.9 group by city")
+def h_counted_in_box(spark: SparkSession, d: str) -> DataFrame:
+    return harvest.counted_in_box(table(spark, d, "venues"), 46.5, 46.7, -1.1, -0.9, "city")

@@ -138,3 +138,22 @@ def test_camera_uses_the_latitude_before_the_step(spark):
         want.append((lat, lng))
     got = [(r["cam_lat"], r["cam_lng"]) for r in sequences.camera_track(pans, 51.5, -0.1, F.lit(10.2)).orderBy("seq").collect()]
     assert np.allclose(got, want)
+
+
+def test_hot_keys_are_cut_into_slices(spark):
+    rnd = random.Random(9)
+    ev = [(i, None if k == 0 else k, rnd.randint(0, 500), rnd.random() < 0.7, rnd.choice([None, i])) for i in range(600) for k in [rnd.choice([0, 1, 1, 1, 2])]]
+    df = spark.createDataFrame(ev, "id long, k long, t long, bad boolean, v long")
+    key = lambda r: (r["id"],)
+    for f in (
+        lambda n: sequences.streaks(df, F.col("bad"), ["t", "id"], ["k"], slice_rows=n),
+        lambda n: sequences.carried_forward(df, "v", ["t", "id"], ["k"], slice_rows=n),
+        lambda n: sequences.running_ratio(df, "v", "t", "id", ["k"], least=10, slice_rows=n),
+        lambda n: sequences.camera_track(df.withColumn("dx", F.col("t") * 1.0).withColumn("dy", F.col("t") * 0.5), 10.0, 20.0, F.lit(2.0), ["k"], "id", slice_rows=n),
+    ):
+        a, b = sorted(map(tuple, f(50).collect())), sorted(map(tuple, f(10**6).collect()))
+        assert len(a) == len(b) == 600
+        for x, y in zip(a, b):
+            assert x[:4] == y[:4] and all(p == q or abs(p - q) < 1e-9 for p, q in zip(x[5:], y[5:]))
+    counts = {r["id"]: r["recent"] for r in sequences.rolling_count(df, F.col("t"), 60, ["k"]).collect()}
+    assert counts == {i: sum(1 for _, k2, t2, _, _ in ev if k2 == k and t - 60 <= t2 <= t) for i, k, t, _, _ in ev}
