@@ -50,7 +50,7 @@ LAST_PART = re.compile(r"\s[-–—@]\s*([^\W\d_]{4,})$")
 BRANCH = re.compile(r"\s+[-–—@]\s*|\s*[-–—@]\s+|\s*[,(]\s*|\)\s*")
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=20_000)
 def latin(word: str) -> str:
     """Latin spelling of a word in another script."""
     return "".join(LATIN.get(c, c) for c in word).replace(" ", "")
@@ -65,7 +65,7 @@ def sounds(word: str) -> str:
 SAME = str.maketrans("cqjyw", "kkiiv")
 
 
-@lru_cache(maxsize=300_000)
+@lru_cache(maxsize=50_000)
 def kind_of(word: str, last: bool) -> str:
     """Kind of house a word stands for, one typo allowed in a longer word; '' if none."""
     if word in KIND_OF:
@@ -85,7 +85,7 @@ GLUED = frozenset(w for w in KIND_OF if w.isascii() and (len(w) >= 4 and w not i
 GLUED_SIZES = sorted({len(w) for w in GLUED}, reverse=True)
 
 
-@lru_cache(maxsize=300_000)
+@lru_cache(maxsize=50_000)
 def unglue(word: str) -> tuple[str, ...]:
     """A word with a kind, a number or an article written onto it."""
     m = re.match(r"^(\d+)([^\W\d_]{3,})$", word)
@@ -123,7 +123,7 @@ class Name:
         self.sound = sounds("".join(core)) if native else ""
 
 
-@lru_cache(maxsize=50_000)
+@lru_cache(maxsize=20_000)
 def near_word(word: str, words: frozenset) -> str:
     """The word of a lexicon that `word` is, one typo allowed."""
     if word in words:
@@ -189,7 +189,7 @@ def parse(name: str, branches: frozenset = frozenset(), places: frozenset = froz
     return Name(tuple(core), frozenset(kinds), branch, native, [NUMBERS.get(w, w) for w in words])
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=10_000)
 def neighbourhood(word: str) -> frozenset:
     """Symmetric-delete keys: two words share one if they are within two edits (one in words of up to four letters)."""
     if len(word) <= 2 or word.isdigit():
@@ -200,12 +200,12 @@ def neighbourhood(word: str) -> frozenset:
 NICKS = Lexicon((k for k in NICK if len(k) >= 3), 1)
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=20_000)
 def near_nick(word: str) -> tuple[str, ...]:
     return tuple(NICKS.near(word)) if len(word) <= 8 else ()
 
 
-@lru_cache(maxsize=500_000)
+@lru_cache(maxsize=100_000)
 def word_cost(a: str, b: str) -> float:
     """0 for the same word, up to 1 for typos, an initial or a cut form; 9 for different words."""
     if a == b:
@@ -229,7 +229,7 @@ def word_cost(a: str, b: str) -> float:
     return 9.0
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=50_000)
 def soft(word: str) -> bool:
     """A word that may be missing: an article, "and", a kind of house, with typos."""
     if len(word) <= 4 and any(w in ("the", "and") or w[0] == word[0] for w in SOFT_SHORT.near(word)):
