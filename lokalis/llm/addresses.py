@@ -5,8 +5,8 @@ the street's word and letter-pair shingles are banded; addresses of one group (a
 share a band are candidates, verified by an affine-gap alignment of their words whose substitution costs know abbreviations
 and typos, and by town and kind of street, which must not contradict each other.
 
-Groups of more than `GROUP_ROWS` distinct addresses are spread by their band keys over as many tasks as they need; copies
-are collapsed before matching and expanded by joins.
+Groups of more than `GROUP_ROWS` distinct addresses are spread by house number, and a number that alone is beyond the bound by
+its band keys; copies are collapsed before matching and expanded by joins.
 
 Defined results: NULL, blank and number-less addresses match nothing; identical strings are no pair; a NULL group is a group; a
 missing town contradicts none. Units, floors, shops and postcodes do not make another location; `12` and `12a` do.
@@ -66,7 +66,7 @@ class Address:
         self.number, self.words, self.kinds, self.town, self.unsure = number, words, kinds, town, unsure
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=20_000)
 def street_kind(word: str) -> frozenset:
     """Kinds of street a word may stand for, one typo allowed in words of five letters and more."""
     if word in KINDS_OF:
@@ -83,7 +83,7 @@ def town_of(words: list[str], towns: frozenset) -> list[str]:
     return [near_word(SHORT.get(w, w), towns) for w in words if len(SHORT.get(w, w)) >= 3 and not w.isdigit()]
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=20_000)
 def town_key(line: str | None, towns: frozenset) -> tuple[frozenset, bool]:
     """The town's words that a line names, and whether a short word of it may be a mistyped one; empty with a short form of two meanings."""
     if not line or not towns:
@@ -164,19 +164,19 @@ def shingles(words: tuple[str, ...]) -> set[str]:
 _SEEDS = np.random.default_rng(7).integers(1, 2**31 - 1, (2, BANDS * BAND_ROWS)).astype(np.uint64)
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=20_000)
 def hashes(shingle: str) -> np.ndarray:
     return (_SEEDS[0] * np.uint64(crc32(shingle.encode())) + _SEEDS[1]) % np.uint64(2_147_483_647)
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=10_000)
 def bands(words: tuple[str, ...]) -> tuple[int, ...]:
     """Band keys of the MinHash signature."""
     low = np.minimum.reduce([hashes(s) for s in shingles(words)])
     return tuple(hash((i, *low[i * BAND_ROWS : (i + 1) * BAND_ROWS].tolist())) for i in range(BANDS))
 
 
-@lru_cache(maxsize=500_000)
+@lru_cache(maxsize=100_000)
 def word_cost(a: str, b: str) -> float:
     """Substitution cost: 0 the same, 0.1 an abbreviation, a share for typos, 2 for different words."""
     if a == b:
@@ -218,14 +218,13 @@ def same_place(x: Address, y: Address) -> float:
     return max(0.05, 1 - cost) if cost <= MAX_COST else 0.0
 
 
-def match_addresses(rows: list[tuple], towns: frozenset, salt: int = 0, salts: int = 1) -> list[tuple]:
+def match_addresses(rows: list[tuple], towns: frozenset) -> list[tuple]:
     """(id_a, id_b, confidence) among rows (id, address, city)."""
     got = [(i, a, p) for i, a, c in rows if (p := parse(a, c, towns))]
     index: dict[tuple, list[int]] = defaultdict(list)
     for k, (_, _, p) in enumerate(got):
         for b in bands(p.words):
-            if salts == 1 or _salt(p.number, b, salts) == salt:
-                index[(p.number, b)].append(k)
+            index[(p.number, b)].append(k)
     seen: set[tuple[int, int]] = set()
     out = []
     for ks in index.values():
@@ -246,30 +245,54 @@ def link_addresses(rows: DataFrame, towns: DataFrame, group_rows: int = GROUP_RO
     """(id_a, id_b, confidence) for rows (id, grp, address, city) with distinct (address, city) in a group."""
     ship(rows.sparkSession)
     kind = rows.schema["grp"].dataType.simpleString()
-    large = {r["grp"]: -(-r["count"] // group_rows) for r in rows.groupBy("grp").count().where(F.col("count") > group_rows).collect()}
-    hot = F.coalesce(F.col("grp").isin(list(large)), F.lit(False)) if large else F.lit(False)
+    # Groups beyond the bound: few. Their addresses go by house number, which has to agree; of a number that alone is beyond the
+    # bound, by bands.
+    large = {r["grp"]: -(-2 * r["count"] // group_rows) for r in rows.where("grp is not null").groupBy("grp").count().where(F.col("count") > group_rows).collect()}
     base = rows.select("id", "grp", "address", "city", F.lit(0).alias("salt"))
     extra = towns.select(F.lit(None).cast("long").alias("id"), "grp", F.col("word").alias("address"), F.lit(None).cast("string").alias("city"), F.lit(0).alias("salt"))
-    both = base.where(~hot).unionByName(extra) if large else base.unionByName(extra)
+    both = base.unionByName(extra)
     if large:
+        hot = F.coalesce(F.col("grp").isin(list(large)), F.lit(False))
+        # Town words are few for each group; a salted group's tasks get them all.
+        words: dict[Any, set] = defaultdict(set)
+        for r in towns.where(hot).collect():
+            words[r["grp"]].add(r["word"])
+        towns_of = {g: frozenset(w) for g, w in words.items()}
+
+        def numbered(parts):
+            for p in parts:
+                out = []
+                for i, g, a, c in zip(p.id, p.grp, p.address, p.city):
+                    if x := parse(a, c if isinstance(c, str) else None, towns_of.get(g, frozenset())):
+                        out.append((i, g, a, c, x.number, crc32(x.number.encode()) % large[g]))
+                yield pd.DataFrame(out, columns=["id", "grp", "address", "city", "number", "salt"])
+
+        by_number = base.where(hot).drop("salt").mapInPandas(numbered, f"id long, grp {kind}, address string, city string, number string, salt int")
+        crowded = {(r["grp"], r["number"]): -(-r["count"] * BANDS // group_rows) for r in by_number.groupBy("grp", "number").count().where(F.col("count") > group_rows).collect()}
 
         def salted(parts):
             for p in parts:
                 out = []
-                for i, g, a, c in zip(p.id, p.grp, p.address, p.city):
-                    if x := parse(a, c, frozenset()):
-                        out += [(i, g, a, c, t) for t in {_salt(x.number, b, large[g]) for b in bands(x.words)}]
+                for i, g, a, c, n, s in zip(p.id, p.grp, p.address, p.city, p.number, p.salt):
+                    k = crowded.get((g, n))
+                    if k is None:
+                        out.append((i, g, a, c, s))
+                    else:
+                        x = parse(a, c if isinstance(c, str) else None, towns_of.get(g, frozenset()))
+                        out += [(i, g, a, c, large[g] + t) for t in {_salt(n, b, k) for b in bands(x.words)}]
                 yield pd.DataFrame(out, columns=["id", "grp", "address", "city", "salt"])
 
-        # Towns are not taken out of the words before salting, so each record keeps one parse: the one without towns.
-        both = both.unionByName(base.where(hot).drop("salt").mapInPandas(salted, f"id long, grp {kind}, address string, city string, salt int"))
+        moved = by_number.mapInPandas(salted, f"id long, grp {kind}, address string, city string, salt int")
+        both = base.where(~hot).unionByName(extra.where(~hot)).unionByName(moved)
+    else:
+        towns_of = {}
 
     def match(key: tuple[Any, ...], p: pd.DataFrame) -> pd.DataFrame:
         is_town = p.id.isna()
-        towns_here = frozenset(p.address[is_town])
+        towns_here = towns_of.get(key[0], frozenset()) if key[0] in large else frozenset(p.address[is_town])
         p = p[~is_town]
         city = [c if isinstance(c, str) else None for c in p.city]
-        got = match_addresses(list(zip(p.id.astype("int64"), p.address, city)), frozenset() if key[0] in large else towns_here, int(key[1]), large.get(key[0], 1))
+        got = match_addresses(list(zip(p.id.astype("int64"), p.address, city)), towns_here)
         return pd.DataFrame(got, columns=["id_a", "id_b", "confidence"])
 
     got = spread(both, "grp", "salt").groupBy("grp", "salt").applyInPandas(match, "id_a long, id_b long, confidence double")
