@@ -6,7 +6,8 @@ pair of groups has a weight from name, distance, house number and kind; one-to-o
 compete. Loopy belief propagation exchanges messages through joins until they converge; the marginal probability of a pair is
 its confidence. Pairs without a competitor have their fixed point in closed form and take no part in the exchange.
 
-A cell with more than `GROUP_ROWS` records is spread by its index keys over as many tasks as it needs.
+Crowded cells are cut into smaller ones; a place with more than `GROUP_ROWS` records is spread by its index keys over as many
+tasks as it needs.
 
 Defined results: rows with NULL, (0, 0) or out-of-range points, or NULL or blank names, are never matched; repeated page rows
 and repeated elements all appear; an empty side gives an empty result; extra columns are ignored.
@@ -14,6 +15,7 @@ and repeated elements all appear; an empty side gives an empty result; extra col
 
 from __future__ import annotations
 
+import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from typing import Any
@@ -26,15 +28,17 @@ from pyspark.sql import functions as F
 
 from lokalis.llm import addresses
 from lokalis.llm.lookalikes import bare, fold
-from lokalis.llm.name_variants import all_keys, branch_words, extra_keys, index_keys, needed, sound_keys
+from lokalis.llm.name_variants import WordIndex, all_keys, branch_words, extra_keys, found_words, needed, sound_keys
 from lokalis.llm.names import parse, same_name
 from lokalis.operators.spatial import EARTH_M, great_circle_np, usable_point
 from lokalis.runtime import cut, ship, spread
 
-REACH = 900.0  # metres within which a page and an element may be one place
+REACH = 900.0  # metres within which a page and an element may be one place if one of them is placed coarsely
+FINE = 350.0  # and if none is
 COARSE = {"nominatim"}  # sources whose points may lie hundreds of metres off
-CELL = 1 / 30  # degrees of latitude
-GROUP_ROWS = 20_000
+CELL, SMALL_CELL = 1 / 30, 1 / 120  # degrees of latitude
+GROUP_ROWS = 8_000
+KEYS = 60
 ROUNDS, CLOSE = 24, 1e-3
 ACCEPT = 0.5
 RECORD = "cell string, salt int, home boolean, side int, id long, name string, lat double, lng double, coarse boolean, address string, place string"
@@ -54,18 +58,26 @@ def records(venues: DataFrame, elements: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
-def _cells(lat: float, lng: float) -> Iterator[tuple[str, bool]]:
-    """Cells within reach of a point; True for the cell it lies in."""
-    home = int(np.floor(lat / CELL))
-    d = np.degrees(REACH / EARTH_M)
-    for y in range(int(np.floor((lat - d) / CELL)), int(np.floor((lat + d) / CELL)) + 1):
-        far = min(89.0, max(abs(y * CELL), abs((y + 1) * CELL)))
-        step = CELL / max(np.cos(np.radians(far)), 0.02)
+def _grid(lat: float, lng: float, size: float, reach: float) -> Iterator[tuple[tuple[int, int], bool]]:
+    """Cells of `size` degrees within `reach` metres of a point; True for the cell it lies in."""
+    home, d = int(np.floor(lat / size)), np.degrees(reach / EARTH_M)
+    w = d / max(np.cos(np.radians(min(89.9, abs(lat) + d))), 0.02)
+    for y in range(int(np.floor((lat - d) / size)), int(np.floor((lat + d) / size)) + 1):
+        step = size / max(np.cos(np.radians(min(89.0, max(abs(y * size), abs((y + 1) * size))))), 0.02)
         n = int(np.ceil(360 / step))
-        w = d / max(np.cos(np.radians(min(89.9, abs(lat) + d))), 0.02)
         at = int(np.floor((lng + 180) / step)) % n
         for x in range(int(np.floor((lng + 180 - w) / step)), int(np.floor((lng + 180 + w) / step)) + 1):
-            yield f"{y} {x % n}", y == home and x % n == at
+            yield (y, x % n), y == home and x % n == at
+
+
+def _cells(lat: float, lng: float, coarse: bool, large: frozenset) -> Iterator[tuple[str, bool]]:
+    """Cells that must know a record: those within its reach; small ones where the record's own large cell is crowded."""
+    reach = REACH if coarse else FINE
+    wide = list(_grid(lat, lng, CELL, reach))
+    yield from ((f"{y} {x}", h) for (y, x), h in wide if (y, x) not in large)
+    if any(c in large for c, _ in wide):
+        crowded = any(c in large for c, h in wide if h)
+        yield from ((f"s {y} {x}", h and crowded) for (y, x), h in _grid(lat, lng, SMALL_CELL, reach))
 
 
 def evidence(name: float, metres: float, coarse: bool, a, b) -> float:
@@ -76,59 +88,106 @@ def evidence(name: float, metres: float, coarse: bool, a, b) -> float:
     return t
 
 
-def near_pairs(left: list[tuple], right: list[tuple], branches: frozenset, salt: int, salts: int) -> Iterator[tuple]:
-    """(kind, a, b, log odds) among records (side, id, name, lat, lng, coarse, address, place): page and element, or two of one side."""
-    towns = Counter(w for r in right if r[7] for w in set(addresses.TOKEN.findall(bare(fold(r[7])))) if len(w) > 3)
+class Squares:
+    """Records in squares of the map, each with its own index from keys to records."""
+
+    def __init__(self, size: float, lat: np.ndarray, lng: np.ndarray):
+        lng = np.where(lng < 0, lng + 360, lng) if len(lng) and lng.max() - lng.min() > 180 else lng
+        m = np.radians(1) * EARTH_M
+        low = np.cos(np.radians(min(89.99, float(np.abs(lat).max(initial=0)))))  # a square is nowhere narrower than `size`
+        self.y, self.x = np.floor(lat * m / size).astype(int).tolist(), np.floor(lng * m * low / size).astype(int).tolist()
+        self.words: dict[tuple[int, int], dict[str, list[int]]] = defaultdict(lambda: defaultdict(list))
+        self.whole: dict[tuple[int, int], dict[str, list[int]]] = defaultdict(lambda: defaultdict(list))
+
+    def add(self, j: int, words: list[str], whole: set[str]) -> None:
+        at = self.y[j], self.x[j]
+        w, o = self.words[at], self.whole[at]
+        for k in words:
+            w[k].append(j)
+        for k in whole:
+            o[k].append(j)
+
+    def near(self, i: int, words: list[tuple[str, ...]], whole: set[str], need: list[int], reach: int = 1) -> set[int]:
+        """Records in the squares around record i, up to `reach` away, that share enough near words, or a key of the whole name."""
+        out: set[int] = set()
+        y, x = self.y[i], self.x[i]
+        for at in [(v, h) for v in range(y - reach, y + reach + 1) for h in range(x - reach, x + reach + 1)]:
+            if at not in self.words:
+                continue
+            here = self.words[at]
+            hits: dict[int, int] = defaultdict(int)
+            for near in words:
+                found: set[int] = set()
+                for w in near:
+                    if w in here:
+                        found.update(here[w])
+                for j in found:
+                    hits[j] += 1
+            out.update(j for j, h in hits.items() if h >= need[i] or h >= need[j])
+            here = self.whole[at]
+            for k in whole:
+                if k in here:
+                    out.update(here[k])
+        return out
+
+
+def near_pairs(right: list[tuple], home: list[bool], branches: frozenset) -> Iterator[tuple]:
+    """(kind, a, b, log odds) among records (side, id, name, lat, lng, coarse, address, place): page and element, or two of one side.
+
+    At least one of a pair is at home in this cell; a pair that two cells see comes twice.
+
+    Pairs of well-placed records are looked for within `FINE` metres, pairs with a coarse one within `REACH`, each in squares of
+    fitting size, so the work for a record depends on what is around it and not on how many records its cell holds.
+    """
+    towns: Counter = Counter()
+    for line, n in Counter(r[7] for r in right if r[7]).items():
+        towns.update(dict.fromkeys((w for w in addresses.TOKEN.findall(bare(fold(line))) if len(w) > 3), n))
     lines = sum(1 for r in right if r[7])
     places = frozenset(w for w, n in towns.items() if n >= max(3, 0.02 * lines))
-    mine = (lambda ks: [k for k in ks if crc32(k.encode()) % salts == salt]) if salts > 1 else (lambda ks: ks)
     names = [parse(r[2], branches, places) for r in right]
-    addr = [addresses.parse(r[6], None, frozenset()) if r[6] else None for r in right]
-    lat, lng = np.array([r[3] for r in right]), np.array([r[4] for r in right])
-    words: dict[str, list] = defaultdict(list)
-    whole: dict[str, list] = defaultdict(list)
     native = any(n.native for n in names)
-    for j, n in enumerate(names):
-        for ks in index_keys(n):
-            for k in mine(ks):
-                words[k].append(j)
-        for k in mine(extra_keys(n)):
-            whole[k].append(j)
-        if native:
-            for k in mine(sound_keys(n)):
-                whole[k].append(j)
-    spot = {(r[0], r[1]): j for j, r in enumerate(right)}
-    need = [needed(n) if salts == 1 else 1 for n in names]
-    for r in left:
-        i = spot[r[0], r[1]]
-        n = names[i]
-        hits: dict[int, int] = defaultdict(int)
-        for ks in index_keys(n):
-            found: set[int] = set()
-            for k in words.keys() & ks:
-                found.update(words[k])
-            for j in found:
-                hits[j] += 1
-        cand = {j for j, h in hits.items() if h >= need[i] or h >= need[j]}
-        for k in whole.keys() & (extra_keys(n) | (sound_keys(n) if native else set())):
-            cand.update(whole[k])
-        order = (r[0], r[1])
-        js = np.array([j for j in cand if (right[j][0], right[j][1]) > order], int)  # pages before elements, smaller ids first
+    words = [found_words(n) for n in names]
+    whole = [extra_keys(n) | (sound_keys(n) if native else set()) for n in names]
+    often = Counter(k for ks in whole for k in ks)
+    whole = [{k for k in ks if often[k] > 1} for ks in whole]  # a key of one record brings it to none
+    index = WordIndex(w for ws in words for w in ws)
+    lat, lng = np.array([r[3] for r in right]), np.array([r[4] for r in right])
+    fine, rough = Squares(FINE, lat, lng), Squares(REACH, lat, lng)
+    some_coarse, far = any(r[5] for r in right), math.ceil(REACH / FINE)
+    for j, r in enumerate(right):
+        fine.add(j, words[j], whole[j])
+        if r[5]:
+            rough.add(j, words[j], whole[j])
+    need = [needed(n) for n in names]
+    addr: dict[int, object] = {}
+
+    def address(j: int):
+        if j not in addr:
+            addr[j] = addresses.parse(right[j][6], None, frozenset()) if right[j][6] else None
+        return addr[j]
+
+    for i, r in enumerate(right):
+        if not home[i]:
+            continue
+        near = [index.near(w) for w in words[i]]
+        cand = fine.near(i, near, whole[i], need, far) if r[5] else fine.near(i, near, whole[i], need) | (rough.near(i, near, whole[i], need) if some_coarse else set())
+        js = np.array([j for j in cand if j != i and (right[j][:2] > r[:2] or not home[j])], int)
         if not len(js):
             continue
         m = great_circle_np(r[3], r[4], lat[js], lng[js])
-        for j, d in zip(js[m <= REACH].tolist(), m[m <= REACH].tolist()):
+        for j, d in zip(js.tolist(), m.tolist()):
             o = right[j]
             coarse = r[5] or o[5]
-            if d > 350 and not coarse:
+            if d > (REACH if coarse else FINE):
                 continue
-            c = same_name(n, names[j], need_branch=r[0] == o[0])  # the map often leaves a branch out
+            c = same_name(names[i], names[j], need_branch=r[0] == o[0])  # the map often leaves a branch out
             if c:
-                t = evidence(c, d, coarse, addr[i], addr[j])
+                t = evidence(c, d, coarse, address(i), address(j))
+                first, second = (r, o) if r[:2] < o[:2] else (o, r)  # pages before elements, smaller ids first
                 if r[0] != o[0]:
-                    yield "match", r[1], o[1], t
+                    yield "match", first[1], second[1], t
                 elif t > 1.0:
-                    yield ("page" if r[0] == 0 else "place"), r[1], o[1], t
+                    yield ("page" if r[0] == 0 else "place"), first[1], second[1], t
 
 
 def candidates(venues: DataFrame, elements: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -137,17 +196,27 @@ def candidates(venues: DataFrame, elements: DataFrame, group_rows: int = GROUP_R
     ship(recs.sparkSession)
     known = frozenset(branch_words(recs.select("name")))
 
+    def homes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            got = Counter(c for a, o in zip(p.lat, p.lng) for c, h in _grid(a, o, CELL, 0.0) if h)
+            yield pd.DataFrame([(y, x, n) for (y, x), n in got.items()], columns=["y", "x", "n"])
+
+    # Crowded cells: each holds more than half of `group_rows` records.
+    counts = recs.select("lat", "lng").mapInPandas(homes, "y int, x int, n long").groupBy("y", "x").agg(F.sum("n").alias("n")).where(F.col("n") > group_rows // 2)
+    crowded = frozenset((r["y"], r["x"]) for r in counts.collect())
+
     def place(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            cells = [list(_cells(a, o)) for a, o in zip(p.lat, p.lng)]
+            cells = [list(_cells(a, o, c, crowded)) for a, o, c in zip(p.lat, p.lng, p.coarse)]
             k = [len(c) for c in cells]
             out = p.loc[np.repeat(p.index.to_numpy(), k)].reset_index(drop=True)
             out.insert(0, "cell", [c for cs in cells for c, _ in cs])
             out.insert(1, "home", [h for cs in cells for _, h in cs])
             yield out
 
-    placed = recs.mapInPandas(place, "cell string, home boolean, side int, id long, name string, lat double, lng double, coarse boolean, address string, place string")
-    large = {r["cell"]: -(-r["count"] // group_rows) for r in placed.groupBy("cell").count().where(F.col("count") > group_rows).collect()}
+    placed = cut(recs.mapInPandas(place, "cell string, home boolean, side int, id long, name string, lat double, lng double, coarse boolean, address string, place string"))
+    # What is still too large lies at one place; its names are spread by their keys, of which each has about `KEYS`.
+    large = {r["cell"]: -(-r["count"] * KEYS // group_rows) for r in placed.groupBy("cell").count().where(F.col("count") > group_rows).collect()}
 
     def salted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
@@ -167,8 +236,7 @@ def candidates(venues: DataFrame, elements: DataFrame, group_rows: int = GROUP_R
     def match(key: tuple[Any, ...], p: pd.DataFrame) -> pd.DataFrame:
         text = lambda v: v if isinstance(v, str) else None
         all_ = [(int(s), int(i), n, a, o, bool(c), text(ad), text(pl)) for s, i, n, a, o, c, ad, pl in zip(p.side, p.id, p.name_, p.lat, p.lng, p.coarse, p.address, p.place)]
-        home = [r for r, h in zip(all_, p.home) if h]
-        got = list(near_pairs(home, all_, known, int(key[1]), large.get(key[0], 1)))
+        got = list(near_pairs(all_, [bool(h) for h in p.home], known))
         return pd.DataFrame(got, columns=["kind", "a", "b", "theta"])
 
     got = spread(rows, "cell", "salt").groupBy("cell", "salt").applyInPandas(match, EDGE)
