@@ -4,8 +4,9 @@ Method: every text becomes a sequence of classes: function words by role, capita
 hashtags, disguised words, punctuation. A class trigram model is trained on the prose of the corpus, that is on all sentences
 with an ordinary share of function words and an end mark. Each stretch of a page is scored by its perplexity under the model;
 stretches far above or below the usual (median and median deviation over all stretches of the corpus) are abnormal, except
-records (tap lists, opening hours: capitalised names with numbers, no running words). A page is junk if most of its words stand
-in abnormal stretches.
+records (tap lists, opening hours: capitalised names with numbers, no running words). Where an abnormal stretch meets a usual one
+the border is put at the place within the two that parts their surprisals best (least squares), as stretches straddle it. A page
+is junk if more than half of its words stand in abnormal passages.
 
 Counts and thresholds come from all documents; what is gathered are counts by class triple and a histogram, whose sizes do
 not depend on the corpus. Texts are read once; later steps work on their class bytes.
@@ -33,7 +34,7 @@ STRETCH = 40  # classes in a stretch
 FAR = 13.0  # median deviations from the median that make a stretch abnormal
 LEAST_SPREAD = 0.15  # bits; a corpus of very few sentences spreads less
 STUFFED, STUFFED_LEAST = 0.035, 6  # share and count of one content word that prose does not reach
-MOST = 0.6  # share of a page's words; half, and some for stretches that straddle a border
+MOST = 0.5  # share of a page's words
 RECORD_NUMBERS, RECORD_NAMES, RECORD_RUNNING = 0.08, 0.12, 0.15
 # Function words of English, German, French and Spanish by role.
 ROLES = {
@@ -161,6 +162,26 @@ def stretches(c: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return add(s) / n, words, (number >= RECORD_NUMBERS) & (name >= RECORD_NAMES) & (running <= RECORD_RUNNING)
 
 
+def abnormal_words(c: np.ndarray, table: np.ndarray, low: float, high: float) -> tuple[float, float]:
+    """Words of a text, and those in its abnormal passages with their borders located."""
+    if not len(c):
+        return 0.0, 0.0
+    m, w, rec = stretches(c, table)
+    odd = ((m > high) | (m < low)) & ~rec
+    if odd.all() or not odd.any():
+        return float(w.sum()), float(w[odd].sum())
+    s, k = table[trigrams(c)], len(odd)
+    edge = np.linspace(0, len(c), k + 1).astype(int)
+    at = edge.copy()
+    for j in (np.nonzero(odd[1:] != odd[:-1])[0] + 1).tolist():
+        run = np.cumsum(s[edge[j - 1] : edge[j + 1]])
+        t = np.arange(1, len(run))
+        at[j] = edge[j - 1] + 1 + int(((run[:-1] - t * run[-1] / len(run)) ** 2 / (t * (len(run) - t))).argmax())
+    before = np.concatenate([[0], np.cumsum(WORDLIKE[c])])
+    at = np.maximum.accumulate(at)  # a lone stretch whose borders come the wrong way round holds no words
+    return float(before[-1]), float(np.diff(before[at])[odd].sum())
+
+
 BINS, TOP = 2000, 20.0
 
 
@@ -218,11 +239,9 @@ def junk_scores(documents: DataFrame, doc_id: str = "doc_id") -> DataFrame:
         for p in parts:
             words, share = [], []
             for b in p.classes:
-                c = np.frombuffer(b, np.uint8)
-                m, w, rec = stretches(c, table) if len(c) else (np.empty(0), np.empty(0), np.empty(0, bool))
-                n = float(w.sum())
+                n, odd = abnormal_words(np.frombuffer(b, np.uint8), table, low, high)
                 words.append(int(n))
-                share.append(float(w[((m > high) | (m < low)) & ~rec].sum()) / n if n else 0.0)
+                share.append(odd / n if n else 0.0)
             yield pd.DataFrame({doc_id: p[doc_id], "words": words, "share": share})
 
     return coded.mapInPandas(judge, f"{doc_id} long, words long, share double")

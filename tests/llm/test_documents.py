@@ -121,3 +121,15 @@ def test_junk_pages(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(999, None)], "doc_id long, text string")
     assert {r["doc_id"] for r in junk_pages.junk_pages(df).collect()} == set(range(len(prose), len(prose) + len(junk)))
     assert junk_pages.junk_pages(df.where("false")).count() == 0
+
+
+def test_junk_share_follows_the_border(spark):
+    rnd = random.Random(8)
+    prose = [" ".join(sentence(rnd) for _ in range(20)) for _ in range(120)]
+    tags = lambda n: " ".join(rnd.choice(["#cheapbeer", "#toppubs", "#beerdeals", "#bestbeer"]) for _ in range(n))
+    words = lambda n: " ".join(" ".join(sentence(rnd) for _ in range(n)).split()[:n])
+    mixed = [words(n) + ". " + tags(round(n * s / (1 - s))) for n in (45, 65, 85, 105, 150, 210) for s in (0.4, 0.57)]
+    df = spark.createDataFrame(list(enumerate(prose + mixed)), "doc_id long, text string")
+    share = {r["doc_id"]: r["share"] for r in junk_pages.junk_scores(df).collect()}
+    assert all(abs(share[len(prose) + k] - (0.57 if k % 2 else 0.4)) < 0.05 for k in range(len(mixed))), [share[len(prose) + k] for k in range(len(mixed))]
+    assert {r["doc_id"] for r in junk_pages.junk_pages(df).collect()} == {len(prose) + k for k in range(1, len(mixed), 2)}
