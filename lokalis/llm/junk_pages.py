@@ -12,7 +12,7 @@ Counts and thresholds come from all documents; what is gathered are counts by cl
 not depend on the corpus. Texts are read once; later steps work on their class bytes.
 
 Defined results: NULL, empty and texts of fewer than `LEAST_WORDS` words are no junk; a corpus without prose flags nothing;
-repeated documents are judged each.
+repeated documents are judged each; words and links that stand together without blanks are classified one by one.
 """
 
 from __future__ import annotations
@@ -56,14 +56,32 @@ PARTS = re.compile(r"[#@]?\w(?:[\w'’@€$&!.-]*\w)?|[^\w\s]")
 DISGUISED = re.compile(r"[^\W\d_][\d@€$!]|[\d@€$!][^\W\d_]|^(?:\w\.){2,}\w?$|^(?:\.?\w\.)+\w?$")
 
 
-def classes_of(token: str) -> bytes:
-    """Classes of one blank-separated piece of text."""
+LINK_BEGINS = r"(?<=[^\s=\"'(<\[:])(?=https?:)|(?<=[\w,;|>)])(?=www\.)|(?<=[^/:]/)(?=www\.)"
+LINKS = re.compile(rf"(?<=[,|])(?=[^,|;])|{LINK_BEGINS}", re.I)
+WORDS = re.compile(r"(?<=[,;|/+\\])(?=[^\W_]|[#@])")
+CHAIN, CHAINED = re.compile(r"\w{2,}(?:[-._&]\w{2,}){4,}"), re.compile(r"(?<=[-._&])(?=\w)")
+
+
+def pieces(token: str) -> list[str]:
+    """The words and links that stand in text without a blank, each with the marks after it."""
+    out = []
+    for p in LINKS.split(token):
+        if LINK.search(p):
+            out.append(p)
+        else:
+            for x in WORDS.split(p):
+                out += CHAINED.split(x) if CHAIN.match(x) else [x]
+    return out
+
+
+def piece_classes(token: str) -> bytes:
+    """Classes of one word or link."""
     if LINK.search(token):
         return bytes([ID["U"]])
     if DISGUISED.match(token.strip(",;:!?")) and not token[0].isdigit():
         return bytes([ID["X"]])
     out = []
-    for p in PARTS.findall(token[:400]):
+    for p in PARTS.findall(token):
         c = p[0]
         if c == "#" and len(p) > 1:
             out.append("H")
@@ -94,25 +112,38 @@ def classes_of(token: str) -> bytes:
 
 
 class Known(dict):
-    """Classes of pieces already met; emptied when it grows too large."""
+    """Classes of blank-separated pieces already met; `joined` has the words of those that hold several."""
+
+    def __init__(self) -> None:
+        self.joined: dict[str, list[str]] = {}
 
     def __missing__(self, token: str) -> bytes:
+        if len(found := pieces(token)) > 1:
+            self.joined[token] = found
+        got = self[token] = b"".join(map(piece_classes, found))
+        return got
+
+    def trim(self) -> None:
+        """Empty it when it grew too large."""
         if len(self) > 400_000:
             self.clear()
-        got = self[token] = classes_of(token)
-        return got
+            self.joined.clear()
 
 
 def encoded(text: str, known: Known) -> bytes:
     """Classes of a text; a lower-case content word that makes up `STUFFED` of it is of a class of its own."""
+    known.trim()
     tokens = text.split()
+    whole = b"".join(map(known.__getitem__, tokens))
+    if not known.joined.keys().isdisjoint(tokens):
+        tokens = [p for t in tokens for p in known.joined.get(t, (t,))]
     least = max(STUFFED_LEAST, STUFFED * len(tokens))
     often = {}
     for t, n in Counter(tokens).items():
         if n >= least and (k := known[t]) and k[0] in (ID["L"], ID["H"]):
             often[t.strip(".,;:!?\"'()/|>")] = None
     if not often:
-        return b"".join(map(known.__getitem__, tokens))
+        return whole
     r = bytes([ID["R"]])
     return b"".join([r + known[t][1:] if t.strip(".,;:!?\"'()/|>") in often else known[t] for t in tokens])
 

@@ -133,3 +133,17 @@ def test_junk_share_follows_the_border(spark):
     share = {r["doc_id"]: r["share"] for r in junk_pages.junk_scores(df).collect()}
     assert all(abs(share[len(prose) + k] - (0.57 if k % 2 else 0.4)) < 0.05 for k in range(len(mixed))), [share[len(prose) + k] for k in range(len(mixed))]
     assert {r["doc_id"] for r in junk_pages.junk_pages(df).collect()} == {len(prose) + k for k in range(1, len(mixed), 2)}
+
+
+def test_joined_words_and_links_are_all_counted(spark):
+    rnd = random.Random(9)
+    prose = [" ".join(sentence(rnd) for _ in range(20)) for _ in range(120)]
+    tag = lambda: rnd.choice(["cheapbeer", "toppubs", "beerdeals", "taproom", "bestbeer"])
+    many = [[tag() for _ in range(300)], [tag() for _ in range(300)], [tag() for _ in range(300)], [f"https://a{i}.example/" for i in range(300)], [f"b33r{i}" for i in range(300)]]
+    junk = [" ".join(sentence(rnd) for _ in range(8)) + " " + by.join(w) for by, w in zip(",|/,,", many)]
+    df = spark.createDataFrame(list(enumerate(prose + junk)), "doc_id long, text string")
+    words = {r["doc_id"]: r["words"] for r in junk_pages.junk_scores(df).collect()}
+    assert all(words[len(prose) + k] >= 300 for k in range(len(junk)))
+    assert {r["doc_id"] for r in junk_pages.junk_pages(df).collect()} == set(range(len(prose), len(prose) + len(junk)))
+    classes = lambda t: junk_pages.encoded(t, junk_pages.Known())
+    assert len(classes("#a," * 400)) == 800 and classes("https://a.example/,www.b.example/x") == classes("https://a.example/, www.b.example/x")
