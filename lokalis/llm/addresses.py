@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 from lokalis.llm.canonical_list import AROUND, SHORT, TWO
 from lokalis.llm.edits import osa
 from lokalis.llm.lookalikes import bare, fold
-from lokalis.llm.name_variants import town_words
 from lokalis.llm.names import near_word
 from lokalis.runtime import ship, spread
 
@@ -302,12 +301,12 @@ def link_addresses(rows: DataFrame, towns: DataFrame, group_rows: int = GROUP_RO
 def address_pairs(refs: DataFrame, cities: DataFrame) -> DataFrame:
     """(ref_id_a, ref_id_b, confidence), smaller id first: rows of one sweep whose differently written addresses are one place.
 
-    Of the words in a sweep's place lines those that stand in a name of `cities` tell its towns apart.
+    The words of `cities`, a fixed list, tell the towns of every sweep apart, however rare a town is in it.
     """
     src = refs.where(F.col("address").rlike(r"\p{Nd}")).select("ref_id", F.col("sweep_no").alias("grp"), "address", "city")
     recs = src.groupBy("grp", "address", "city").agg(F.min("ref_id").alias("id"))
     town = F.explode(F.split(F.lower(F.translate("city_name", "áàâäãåéèêëíìîïóòôöõøúùûüñç", "aaaaaaeeeeiiiioooooouuuunc")), r"[^\p{L}]+")).alias("word")
-    towns = town_words(refs, "sweep_no", "city").join(cities.select(town).distinct(), "word", "left_semi").select("grp", "word")
+    towns = recs.select("grp").distinct().crossJoin(cities.select(town).where(F.length("word") >= 3).distinct())
     links = link_addresses(recs.select("id", "grp", "address", "city"), towns)
     of = src.join(recs, src["grp"].eqNullSafe(recs["grp"]) & (src["address"] == recs["address"]) & src["city"].eqNullSafe(recs["city"])).select(src["ref_id"], recs["id"])
     a, b = of.select(F.col("ref_id").alias("a"), F.col("id").alias("id_a")), of.select(F.col("ref_id").alias("b"), F.col("id").alias("id_b"))

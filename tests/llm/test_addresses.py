@@ -53,3 +53,11 @@ def test_pairs_copies_and_salting(spark):
     none = spark.createDataFrame([], "grp long, word string")
     key = lambda n: {tuple(sorted(r[:2])) for r in addresses.link_addresses(recs, none, n).collect()}
     assert key(3) == key(20_000)
+
+
+def test_a_town_rare_in_its_sweep_is_known(spark):
+    many = [(i, 1, None, "York") for i in range(400)]
+    rare = [(500, 1, "7 Anvilbrook Square", "Old Nejawick"), (501, 1, "Old Nejawick, #7 Anvlibrook Square", None), (502, 1, "9 Oak Road", "Theafarkville"), (503, 1, "Oak Rd 9", "Old Nejawick"), (504, 1, "Oak Rd 9", None)]
+    df = spark.createDataFrame(many + rare, "ref_id long, sweep_no long, address string, city string")
+    cities = spark.createDataFrame([("York",), ("Old Nejawick",), ("Theafarkville",)], "city_name string")
+    assert {(r[0], r[1]) for r in addresses.address_pairs(df, cities).collect()} == {(500, 501), (502, 504)}
