@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 from lokalis.functions.geo import from_local, to_local
 from lokalis.operators.aggregates import agreed_offsets
 from lokalis.operators.sequences import carried_forward
+from lokalis.runtime import spread
 
 MIN_MATCHES, AGREE_M = 4, 60.0
 OUTLIER_TIMES, OUTLIER_FLOOR = 3.0, 60.0
 MAX_MEDIAN_M, MAX_ROTATION, SCALES = 75.0, 3.0, (0.25, 4.0)
-MAX_PAIRS = 2_000  # matched points from which all pairs are tried
+MAX_PAIRS = 2_000  # matched points up to which one task tries all pairs
 
 
 def axis_lines(df: DataFrame, by: list[str], x: str = "x", y: str = "y", lat: str = "lat", lng: str = "lng") -> DataFrame:
@@ -42,32 +43,42 @@ def similarity(df: DataFrame, by: list[str], sx: str, sy: str, dx: str, dy: str)
     return s.select(*by, "n", re.alias("a_re"), im.alias("a_im"), (F.col("_m2") - re * F.col("_m0") + im * F.col("_m1")).alias("b_re"), (F.col("_m3") - im * F.col("_m0") - re * F.col("_m1")).alias("b_im"))
 
 
+def best_pair(src: np.ndarray, dst: np.ndarray, firsts: np.ndarray, agree: float = AGREE_M) -> tuple[int, float, float, float, int, int]:
+    """(points explained, their error, re and im of the factor, first, second) of the best similarity through a point of `firsts` and a later one."""
+    n, best = len(src), (0, 0.0, 1.0, 0.0, -1, -1)
+    rows = max(1, 1_000_000 // max(n, 1))  # pairs scored at once
+    for i in firsts.tolist():
+        later = i + 1 + np.nonzero(np.abs(src[i + 1 :] - src[i]) > 1e-9)[0]
+        for at in range(0, len(later), rows):
+            j = later[at : at + rows]
+            a = (dst[j] - dst[i]) / (src[j] - src[i])
+            err = np.abs(a[:, None] * src[None, :] + (dst[i] - a * src[i])[:, None] - dst[None, :])
+            near = err <= agree
+            count, total = near.sum(1), np.where(near, err, 0).sum(1)
+            k = np.lexsort((total, -count))[0]
+            if (count[k], -total[k]) > (best[0], -best[1]):
+                best = (int(count[k]), float(total[k]), float(a[k].real), float(a[k].imag), i, int(j[k]))
+    return best
+
+
+def explained(src: np.ndarray, dst: np.ndarray, best: tuple, agree: float = AGREE_M) -> np.ndarray:
+    """Mask of the points that the similarity of `best_pair` explains; all where there was no pair."""
+    if best[4] < 0:
+        return np.ones(len(src), bool)
+    a, i = complex(best[2], best[3]), best[4]
+    return np.abs(a * src + (dst[i] - a * src[i]) - dst) <= agree
+
+
 def consensus(src: np.ndarray, dst: np.ndarray, agree: float = AGREE_M) -> np.ndarray:
     """Mask of the largest set of points that one similarity through two of them explains; ties go to the smaller error."""
-    n = len(src)
-    best, mask = (-1, 0.0), np.ones(n, bool)
-    for i in range(n - 1):
-        d = src[i + 1 :] - src[i]
-        use = np.abs(d) > 1e-9
-        if not use.any():
-            continue
-        a = (dst[i + 1 :][use] - dst[i]) / d[use]
-        err = np.abs(a[:, None] * src[None, :] + (dst[i] - a * src[i])[:, None] - dst[None, :])
-        near = err <= agree
-        count, total = near.sum(1), np.where(near, err, 0).sum(1)
-        k = np.lexsort((total, -count))[0]
-        if (count[k], -total[k]) > best:
-            best, mask = (int(count[k]), -float(total[k])), near[k]
-    return mask
-
-
-def robust_similarity(src: np.ndarray, dst: np.ndarray) -> dict[str, Any]:
-    """Consensus, least squares, removal of the worst point while it is far off, and the gates; `problem` is '' for a good fit."""
+    return explained(src, dst, best_pair(src, dst, np.arange(len(src)), agree), agree)
+
+
+def robust_similarity(src: np.ndarray, dst: np.ndarray, agreed: np.ndarray | None = None) -> dict[str, Any]:
+    """Consensus (or the one found before), least squares, removal of the worst point while it is far off, and the gates; `problem` is '' for a good fit."""
     if len(src) < MIN_MATCHES:
         return {"problem": f"{len(src)} matches"}
-    if len(src) > MAX_PAIRS:
-        raise ValueError(f"more than {MAX_PAIRS} matches in one fit; fit smaller groups")
-    keep = np.nonzero(consensus(src, dst))[0]
+    keep = np.nonzero(consensus(src, dst) if agreed is None else agreed)[0]
     if len(keep) < MIN_MATCHES:
         return {"problem": f"{len(keep)} matches agree"}
     while True:
@@ -91,15 +102,51 @@ def robust_similarity(src: np.ndarray, dst: np.ndarray) -> dict[str, Any]:
 FIT = "a_re double, a_im double, b_re double, b_im double, inliers long, median_m double, problem string"
 
 
-def robust_fits(pairs: DataFrame, by: str) -> DataFrame:
-    """One robust similarity for each group of matched points (sx, sy) -> (dx, dy) in metres."""
+def robust_fits(pairs: DataFrame, by: str, max_pairs: int = MAX_PAIRS) -> DataFrame:
+    """One robust similarity for each group of matched points (sx, sy) -> (dx, dy) in metres.
+
+    The pairs of a group of more than `max_pairs` points are tried in blocks by their first point, each in its own task with the
+    group's points (32 bytes each) beside it; the best of all blocks is the group's. All pairs are tried against all points, so
+    the time grows with the third power of a group's points.
+    """
     kind = pairs.schema[by].dataType.simpleString()
+    points = pairs.select(by, "sx", "sy", "dx", "dy")
 
-    def run(key: tuple[Any, ...], p: pd.DataFrame) -> pd.DataFrame:
-        got = robust_similarity(p.sx.to_numpy() + 1j * p.sy.to_numpy(), p.dx.to_numpy() + 1j * p.dy.to_numpy())
-        return pd.DataFrame([{by: key[0], **{c.split()[0]: got.get(c.split()[0]) for c in FIT.split(", ")}}])
+    def ends(p: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        p = p.sort_values(["sx", "sy", "dx", "dy"])  # the same order in every block
+        return p.sx.to_numpy() + 1j * p.sy.to_numpy(), p.dx.to_numpy() + 1j * p.dy.to_numpy()
 
-    return pairs.select(by, "sx", "sy", "dx", "dy").groupBy(by).applyInPandas(run, f"{by} {kind}, {FIT}")
+    def row(key: Any, got: dict[str, Any]) -> pd.DataFrame:
+        return pd.DataFrame([{by: key, **{c.split()[0]: got.get(c.split()[0]) for c in FIT.split(", ")}}])
+
+    def run(key: tuple[Any, ...], p: pd.DataFrame) -> pd.DataFrame:
+        return row(key[0], robust_similarity(p.sx.to_numpy() + 1j * p.sy.to_numpy(), p.dx.to_numpy() + 1j * p.dy.to_numpy()))
+
+    # Few, as each holds more than `max_pairs` rows.
+    large = [(r[by], -(-r["count"] * r["count"] // (max_pairs * max_pairs))) for r in points.groupBy(by).count().where(F.col("count") > max_pairs).collect()]
+    if not large:
+        return points.groupBy(by).applyInPandas(run, f"{by} {kind}, {FIT}")
+    sizes = F.broadcast(points.sparkSession.createDataFrame(large, f"_g {kind}, _blocks long"))
+    on = points[by].eqNullSafe(sizes["_g"])
+    small, hot = points.join(sizes, on, "left_anti"), points.join(sizes, on).drop("_g")
+    PAIR = "_count long, _error double, _re double, _im double, _i long, _j long"
+
+    def search(key: tuple[Any, ...], p: pd.DataFrame) -> pd.DataFrame:
+        src, dst = ends(p)
+        best = best_pair(src, dst, np.arange(int(key[1]), len(src), int(p["_blocks"].iloc[0])))
+        return pd.DataFrame([[key[0], *best]], columns=[by, *(c.split()[0] for c in PAIR.split(", "))])
+
+    def finish(key: tuple[Any, ...], p: pd.DataFrame) -> pd.DataFrame:
+        src, dst = ends(p)
+        best = tuple(p[c.split()[0]].iloc[0] for c in PAIR.split(", "))
+        return row(key[0], robust_similarity(src, dst, explained(src, dst, best)))
+
+    blocks = spread(hot.withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))), by, "_block")
+    found = blocks.groupBy(by, "_block").applyInPandas(search, f"{by} {kind}, {PAIR}")
+    order = F.struct(-F.col("_count"), "_error", "_i", "_j")
+    best = found.groupBy(F.col(by).alias("_g")).agg(F.min_by(F.struct(*(c.split()[0] for c in PAIR.split(", "))), order).alias("_best"))
+    whole = hot.join(best, hot[by].eqNullSafe(best["_g"])).select(by, "sx", "sy", "dx", "dy", "_best.*")
+    return small.groupBy(by).applyInPandas(run, f"{by} {kind}, {FIT}").unionByName(whole.groupBy(by).applyInPandas(finish, f"{by} {kind}, {FIT}"))
 
 
 def anchored_cells(swept: DataFrame, matched: DataFrame, lat0: Column, lng0: Column, by: list[str] | None = None) -> DataFrame:

@@ -157,3 +157,20 @@ def test_hot_keys_are_cut_into_slices(spark):
             assert x[:4] == y[:4] and all(p == q or abs(p - q) < 1e-9 for p, q in zip(x[5:], y[5:]))
     counts = {r["id"]: r["recent"] for r in sequences.rolling_count(df, F.col("t"), 60, ["k"]).collect()}
     assert counts == {i: sum(1 for _, k2, t2, _, _ in ev if k2 == k and t - 60 <= t2 <= t) for i, k, t, _, _ in ev}
+
+
+def test_large_groups_are_fitted_in_blocks(spark):
+    rnd = np.random.default_rng(5)
+    rows = []
+    for g, n in ((1, 90), (None, 50), (3, 12), (4, 3)):
+        src = rnd.uniform(-3000, 3000, n) + 1j * rnd.uniform(-3000, 3000, n)
+        dst = 1.1 * src + 30 + rnd.normal(0, 25, n) + 1j * rnd.normal(0, 25, n)
+        dst[: n // 3] += rnd.uniform(1000, 4000, n // 3)
+        rows += [(g, *map(float, (s.real, s.imag, t.real, t.imag))) for s, t in zip(src, dst)]
+    df = spark.createDataFrame(rows, "g long, sx double, sy double, dx double, dy double")
+    whole, blocks = ({r["g"]: r for r in fit.robust_fits(df, "g", most).collect()} for most in (2_000, 20))
+    assert set(whole) == set(blocks) == {1, None, 3, 4}
+    for g, r in whole.items():
+        assert (r["inliers"], r["problem"]) == (blocks[g]["inliers"], blocks[g]["problem"]) and r["a_re"] == pytest.approx(blocks[g]["a_re"])
+    src = np.concatenate([rnd.uniform(-3000, 3000, 30) + 0j, np.full(1_980, 5.0 + 0j)])
+    assert fit.robust_similarity(src, src + 7)["inliers"] == 2_010
