@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lokalis.functions.geo import from_local, to_local
 from lokalis.operators.aggregates import agreed_offsets
 from lokalis.operators.sequences import carried_forward
-from lokalis.runtime import spread
+from lokalis.runtime import ship, spread
 
 MIN_MATCHES, AGREE_M = 4, 60.0
 OUTLIER_TIMES, OUTLIER_FLOOR = 3.0, 60.0
@@ -176,14 +178,71 @@ def anchored_cells(swept: DataFrame, matched: DataFrame, lat0: Column, lng0: Col
     return j.withColumn("lat", F.coalesce("_p.lat", "lat")).withColumn("lng", F.coalesce("_p.lng", "lng")).drop("_p", "_s", "_cell", *(f"_{c}" for c in by))
 
 
+def hull(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Indices of the corners of the convex hull, one row for each corner (monotone chain)."""
+    order = np.lexsort((y, x))
+    keep = np.ones(len(order), bool)
+    keep[1:] = (np.diff(x[order]) != 0) | (np.diff(y[order]) != 0)
+    order = order[keep]
+    if len(order) < 3:
+        return order
+    at = list(zip(order.tolist(), x[order].tolist(), y[order].tolist()))
+
+    def half(points: list[tuple]) -> list[int]:
+        out: list[tuple] = []
+        for p in points:
+            while len(out) > 1 and (out[-1][1] - out[-2][1]) * (p[2] - out[-2][2]) - (out[-1][2] - out[-2][2]) * (p[1] - out[-2][1]) < 0:
+                out.pop()
+            out.append(p)
+        return [i for i, _, _ in out]
+
+    return np.unique(half(at) + half(at[::-1]))
+
+
+def rim(x: np.ndarray, y: np.ndarray, e: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Indices of the rows that can be an end of the farthest pair: corners of the hull, of a corner's rows those that span their metres."""
+    corners = hull(x, y)
+    place = pd.Series(np.arange(len(x))).groupby([x, y]).indices if len(corners) < len(x) else {}
+    out = []
+    for i in corners.tolist():
+        same = place.get((x[i], y[i]), np.array([i]))
+        out.append(same if len(same) < 3 else same[hull(e[same], n[same])])
+    return np.concatenate(out) if out else np.empty(0, int)
+
+
 def widest_scale(points: DataFrame, by: list[str], x: str = "x", y: str = "y", e: str = "e", n: str = "n") -> DataFrame:
-    """(by, m_per_px): metres over pixels of the pair of known points farthest apart on the screen.
+    """(by, m_per_px): metres over pixels of the pair of known points farthest apart on the screen; of pairs equally far the most metres.
 
-    The farthest pair stands on the border, so only the extremes in sixteen directions of each group are paired.
+    The farthest pair are corners of the convex hull, so each batch of rows is cut to the hulls of its groups before the shuffle,
+    and the corners of a group are paired, some at a time.
     """
-    turns = [i * math.pi / 16 for i in range(16)]
-    ends = points.groupBy(*by).agg(*(f(F.struct(x, y, e, n), F.col(x) * math.cos(t) + F.col(y) * math.sin(t)).alias(f"{k}{i}") for i, t in enumerate(turns) for k, f in (("lo", F.min_by), ("hi", F.max_by))))
-    rim = F.array_distinct(F.array(*(F.col(f"{k}{i}") for i in range(16) for k in ("lo", "hi"))))
-    pair = F.flatten(F.transform(rim, lambda p: F.transform(rim, lambda q: F.struct(F.hypot(p[x] - q[x], p[y] - q[y]).alias("px"), F.hypot(p[e] - q[e], p[n] - q[n]).alias("m")))))
-    best = ends.select(*by, F.array_max(F.filter(pair, lambda p: p["px"] >= 1)).alias("p"))
-    return best.select(*by, (F.col("p.m") / F.col("p.px")).alias("m_per_px"))
+    ship(points.sparkSession)
+    cols = [F.col(c).cast("double").alias(k) for c, k in ((x, "_x"), (y, "_y"), (e, "_e"), (n, "_n"))]
+    rows = points.select(*by, *cols).where("_x is not null and _y is not null and _e is not null and _n is not null")
+    four = lambda t: [t.column(c).to_numpy(zero_copy_only=False) for c in ("_x", "_y", "_e", "_n")]
+
+    def corners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = four(b)
+            groups = pa.Table.from_batches([b]).select(by).append_column("_row", pa.array(np.arange(b.num_rows))).group_by(by).aggregate([("_row", "list")])
+            at = [np.asarray(g) for g in groups.column("_row_list").to_pylist()]
+            yield b.take(pa.array(np.concatenate([g[rim(*(c[g] for c in v))] for g in at] or [np.empty(0, int)]).astype(np.int64)))
+
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by)
+
+    def widest(key: tuple[Any, ...], p: pd.DataFrame) -> pd.DataFrame:
+        a, b, u, v = (p[c].to_numpy() for c in ("_x", "_y", "_e", "_n"))
+        a, b, u, v = (c[k] for k in [rim(a, b, u, v)] for c in (a, b, u, v))
+        best = (0.0, 0.0)
+        step = max(1, 1_000_000 // len(a))
+        for i in range(0, len(a), step):
+            px = np.hypot(a[i : i + step, None] - a, b[i : i + step, None] - b)
+            m = np.hypot(u[i : i + step, None] - u, v[i : i + step, None] - v)
+            best = max(best, (float(px.max()), float(m[px == px.max()].max())))
+        return pd.DataFrame([[*key, best[1] / best[0] if best[0] >= 1 else None]], columns=[*by, "m_per_px"])
+
+    found = rows.mapInArrow(corners, rows.schema).groupBy(*by).applyInPandas(widest, f"{kinds}, m_per_px double")
+    groups, on = points.select(*by).distinct(), F.lit(True)
+    for c in by:
+        on = on & groups[c].eqNullSafe(found[c])
+    return groups.join(found, on, "left").select(*(groups[c] for c in by), "m_per_px")

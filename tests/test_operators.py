@@ -174,3 +174,18 @@ def test_large_groups_are_fitted_in_blocks(spark):
         assert (r["inliers"], r["problem"]) == (blocks[g]["inliers"], blocks[g]["problem"]) and r["a_re"] == pytest.approx(blocks[g]["a_re"])
     src = np.concatenate([rnd.uniform(-3000, 3000, 30) + 0j, np.full(1_980, 5.0 + 0j)])
     assert fit.robust_similarity(src, src + 7)["inliers"] == 2_010
+
+
+def test_widest_pair_is_exact(spark):
+    rnd = np.random.default_rng(6)
+    rows, want = [], {}
+    for g in [None, *range(1, 40)]:
+        r, t = 500 * np.sqrt(rnd.uniform(0, 1, 1_500)), rnd.uniform(0, 2 * np.pi, 1_500)
+        p, q = np.stack([r * np.cos(t), r * np.sin(t)], 1), rnd.uniform(0, 9_000, (1_500, 2))
+        d = np.hypot(*(p[:, None] - p[None]).transpose(2, 0, 1))
+        i, j = np.unravel_index(d.argmax(), d.shape)
+        want[g] = float(np.hypot(*(q[i] - q[j])) / d[i, j])
+        rows += [(g, *map(float, (*a, *b))) for a, b in zip(p, q)]
+    rows += [(90, 0.0, 0.0, 0.0, 0.0), (90, 0.0, 0.0, 5.0, 0.0), (90, 2.0, 0.0, 9.0, 0.0), (91, 1.0, 1.0, 1.0, 1.0), (92, 1.0, None, 1.0, 1.0)]
+    got = {r["g"]: r["m_per_px"] for r in fit.widest_scale(spark.createDataFrame(rows, "g long, x double, y double, e double, n double"), ["g"]).collect()}
+    assert got == pytest.approx({**want, 90: 4.5, 91: None, 92: None})
