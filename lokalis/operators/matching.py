@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lokalis.functions.geo import haversine_m, planar_offset
 from lokalis.functions.text import calibration_keys, join_name, name_forms
+from lokalis.runtime import ship
 
 NAME_MIN, MATCH_M, TRIES = 0.85, 1000.0, 2
 SHIFT_NEED, SHIFT_AGREE_M, SHIFT_NEAR_M, SHIFT_MAX_M = 2, 100.0, 10_000.0, 5_000.0
@@ -35,12 +37,34 @@ def match_known(swept: DataFrame, known: DataFrame, swept_id: str, known_id: str
     return unambiguous(placed, known, swept_id, known_id, calibration_keys(F.col("name")), calibration_keys(F.col("name")))
 
 
-def name_score(a: Column, b: Column) -> Column:
-    """Best matching-blocks ratio over the forms of two names (arrays from `name_forms`); 0 if either has none."""
+COMMON = "etaoinsrhldcumfpgwybvkxjzq"  # letters, the most frequent first
+
+
+def rare_letters(form: str, least: float) -> list[str]:
+    """Letters (numbered among equal ones) of which two forms share one if their matching-blocks ratio is at least `least`.
+
+    The matched letters are shared ones, and at least `least / (2 - least)` of each form; so of each form's letters in one fixed
+    order, the rarer first, the first that may miss all shared ones and one more are enough.
+    """
+    seen: dict[str, int] = {}
+    letters = []
+    for ch in form:
+        seen[ch] = seen.get(ch, 0) + 1
+        letters.append((-seen[ch], -COMMON.find(ch) if ch in COMMON else -len(COMMON), ch))
+    need = math.ceil(least / (2 - least) * len(form) - 1e-9)
+    return [f"{ch}{-k}" for k, _, ch in sorted(letters)[: len(form) - max(need, 1) + 1]]
+
+
+def name_score(a: Column, b: Column, least: float) -> Column:
+    """Best matching-blocks ratio over the forms of two names (arrays from `name_forms`), 0 below `least`; shared letters bound it."""
 
     @F.pandas_udf("double")
     def score(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([max((SequenceMatcher(None, p, q).ratio() for p in s for q in t), default=0.0) if s is not None and t is not None else 0.0 for s, t in zip(x, y)])
+        best = []
+        for s, t in zip(x, y):
+            m = (SequenceMatcher(None, p, q) for p in s for q in t)
+            best.append(max((k.ratio() for k in m if k.real_quick_ratio() >= least and k.quick_ratio() >= least), default=0.0))
+        return pd.Series(best, dtype="float64")
 
     return score(a, b)
 
@@ -57,17 +81,23 @@ def ranked_candidates(names: DataFrame, refs: DataFrame, by: list[str], city: st
     """Candidates of each name among the refs of the same group, best first (`rank` from 1).
 
     names: `by`, name_id, name; refs: `by`, ref_id, name, city, address. A score of `least` bounds the ratio of the lengths
-    (2 * shorter / (both)), which is tested before the score is computed; the group and a shared word keep the join from being
-    one of all with all.
+    (2 * shorter / (both)), which is tested before the score is computed; the group and a shared rare letter (`rare_letters`, which
+    loses no pair) keep the join from being one of all with all.
     """
-    word = lambda df: df.withColumn("_f", name_forms(F.col("name"))).withColumn("_w", F.explode(F.array_distinct(F.flatten(F.transform("_f", lambda f: F.split(f, " "))))))
+    ship(names.sparkSession)
+
+    @F.pandas_udf("array<string>")
+    def keys(forms: pd.Series) -> pd.Series:
+        return pd.Series([sorted({k for f in fs for k in rare_letters(f, least)}) if fs is not None else None for fs in forms])
+
+    word = lambda df: df.withColumn("_f", name_forms(F.col("name"))).withColumn("_w", F.explode(keys("_f")))
     a, b = word(names.select(*by, "name_id", "name")), word(refs.select(*by, "ref_id", "name", *(["city", "address"] if city else [])))
     extra = [F.first("city").alias("city"), F.first("address").alias("address")] if city else []
     pairs = a.withColumnsRenamed({"name": "_an", "_f": "_af"}).join(b.withColumnRenamed("_f", "_bf"), [*by, "_w"]).groupBy(*by, "name_id", "ref_id").agg(F.first("_af").alias("_af"), F.first("_bf").alias("_bf"), F.first("name").alias("ref_name"), *extra)
     la, lb = F.array_max(F.transform("_af", F.length)), F.array_max(F.transform("_bf", F.length))
     sa, sb = F.array_min(F.transform("_af", F.length)), F.array_min(F.transform("_bf", F.length))
     bound = (2 * F.least(la, lb) >= least * (F.least(la, lb) + F.greatest(sa, sb, F.least(la, lb))))
-    scored = pairs.where(bound).withColumn("score", name_score(F.col("_af"), F.col("_bf"))).where(F.col("score") >= least)
+    scored = pairs.where(bound).withColumn("score", name_score(F.col("_af"), F.col("_bf"), least)).where(F.col("score") >= least)
     scored = scored.withColumn("place_rank", place_rank(F.lit(city), F.col("city"), F.col("address")) if city else F.lit(1))
     w = Window.partitionBy(*by, "name_id").orderBy(F.desc("place_rank"), F.desc("score"), "ref_id")
     return scored.withColumn("rank", F.row_number().over(w)).select(*by, "name_id", "ref_id", "score", "place_rank", "rank")

@@ -189,3 +189,23 @@ def test_widest_pair_is_exact(spark):
     rows += [(90, 0.0, 0.0, 0.0, 0.0), (90, 0.0, 0.0, 5.0, 0.0), (90, 2.0, 0.0, 9.0, 0.0), (91, 1.0, 1.0, 1.0, 1.0), (92, 1.0, None, 1.0, 1.0)]
     got = {r["g"]: r["m_per_px"] for r in fit.widest_scale(spark.createDataFrame(rows, "g long, x double, y double, e double, n double"), ["g"]).collect()}
     assert got == pytest.approx({**want, 90: 4.5, 91: None, 92: None})
+
+
+def test_candidates_against_brute_force(spark):
+    from difflib import SequenceMatcher
+
+    from lokalis.functions.text import name_forms
+
+    rnd = random.Random(11)
+    base = ["Trapleox", "Oak Inn", "Abc", "Qz", "Golden Wheel Tavern", "Zum Roten Ochsen", "Bar 12", "Kelpwick"]
+
+    def typo(t):
+        k = rnd.randrange(len(t))
+        return rnd.choice([t[:k] + t[k + 1 :], t[:k] + rnd.choice("aexz ") + t[k:], t[:k] + t[k : k + 2][::-1] + t[k + 2 :]])
+
+    a = spark.createDataFrame([(1, i, typo(b) if i % 2 else b) for i, b in enumerate(base * 4)] + [(1, 90, "Traploex")], "g int, name_id int, name string")
+    b = spark.createDataFrame([(1, i, typo(typo(b)) if i % 3 else b) for i, b in enumerate(base * 5)], "g int, ref_id int, name string")
+    f, h = ([(r[0], r[1]) for r in d.select(k, name_forms(F.col("name"))).collect()] for d, k in ((a, "name_id"), (b, "ref_id")))
+    want = {(i, j) for i, x in f for j, y in h if max((SequenceMatcher(None, p, q).ratio() for p in x for q in y), default=0) >= 0.85}
+    got = {(r["name_id"], r["ref_id"]) for r in matching.ranked_candidates(a, b, ["g"]).collect()}
+    assert got == want and (90, 0) in want
