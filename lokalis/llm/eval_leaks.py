@@ -1,98 +1,151 @@
-"""Evaluation passages inside a corpus.
+"""Evaluation passages inside a corpus, verbatim or with other values put in.
 
-Method: texts become words without case, markup, punctuation and quote marks. A template keeps the words that are common
-among the items and puts typed placeholders for the rest: a number, a unit, a name. Windows of `WINDOW` template words of
-the items are hashed; a document's windows are joined to them by hash. A joined window counts where the slots agree, that is
-the words behind the placeholders are the same. From such a window the passage is followed along the item in both directions;
-it is reported if at least `LEAST` successive words of the item are there with at most one word in ten changed. Windows that
-agree in the template but not in their slots are the re-parameterised questions: they are counted, not reported as leaks.
+Method: texts become words without case, markup, punctuation and quote marks. A template puts typed placeholders where a word's
+form or place says that it is a value: a number; a unit, the word behind a number; a name, a capitalised word that is no
+function word. Each text has two templates, one with names and one without, as a text in capitals shows no names. Windows of
+`WINDOW` template words of the items are hashed and the windows of every document are joined to them by hash; a window with
+fewer than `PLAIN` ordinary words says too little and keeps its words instead of placeholders. Joined windows lie on diagonals
+(item, shift), and the slots of each diagonal are compared:
 
-The items are a query set held against all documents in blocks of `BLOCK_ITEMS` items, so what a task holds of them is
-bounded whatever their number. Documents are read whole, each in one piece. A passage of `LEAST` words with one changed has
-`WINDOW` successive unchanged ones, and so has any longer passage within the limit.
+- `words`: longest run of at least `LEAST` successive item words, at most one in ten changed. Such a run has a window whose
+  slots all agree, as 15 to 29 words with up to two changed leave six in a row, and longer ones more.
+- `template_words`: longest run of at least `LEAST` words in which all ordinary words agree and every slot holds a value of its
+  type, the same new value wherever the item repeats the old one; `replaced` counts the slots with a new value. These are the
+  re-parameterised questions.
+
+The items are a query set held against all documents in blocks of at most `BLOCK_WORDS` words, so what a task holds of them is
+bounded whatever their number. Documents are read whole, each in one piece.
 
 Defined results: NULL and empty documents or items leak nothing; an item shorter than `LEAST` words cannot leak; repeated
-documents are reported each.
+documents are reported once for each doc_id, with their longest runs.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from lokalis.llm.junk_pages import ROLE_OF
 from lokalis.llm.lookalikes import UNSEEN
 from lokalis.runtime import ship
 
-WINDOW = 5
+WINDOW = 6
+PLAIN = 3  # ordinary words that a template window must have
 LEAST = 15
-BLOCK_ITEMS = 20_000
-COMMON = 0.02  # a word in so large a share of the items belongs to their templates
-# Units of the numbers in questions.
-UNITS = {"hours", "hour", "minutes", "minute", "days", "nights", "years", "year", "litres", "litre", "metres", "metre", "degrees", "barrels", "casks", "groats", "hearths", "step", "miles", "pounds", "kilos", "percent"}
-MARKUP = re.compile(r"<[^<>]{0,300}>")
+BLOCK_WORDS = 2_000_000  # about 120 MB of windows
+MARKUP = re.compile(r"<[A-Za-z/!?][^<>]*>")
 HIDDEN = re.compile("[­​-‏⁠-⁤﻿" + UNSEEN + "]")
-MARKS = re.compile("[\u00a0-\u00a9\u00ab-\u00b4\u00b6-\u00b9\u00bb-\u00bf×÷\u2000-\u2017\u201c-\u206f\u2190-\u2bff\u3000-\u303f]")
+MARKS = re.compile("[ -©«-´¶-¹»-¿×÷ -‗“-⁯←-⯿　-〿]")
 QUOTES = re.compile("[’‘ʼ＇´]")
 BREAKS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
-NUMBER, UNIT, NAME = 1, 2, 3  # ids of the placeholders
-BASE = np.uint64(1_000_003)
+OTHER, NUMBER, NAME, FUNCTION = range(4)  # form of a word, in the low bits of its id
+FORM = np.uint64(3)
+NUMBER_SLOT, UNIT_SLOT, NAME_SLOT = (np.uint64(n) for n in (4, 8, 12))  # no word has such an id
+BASE = np.uint64(0x9E3779B97F4A7C15)
+KNOWN_WORDS = 1_000_000
 
 
-def words_of(text: str) -> list[bytes]:
-    """Words without case, markup, punctuation and quote marks."""
+def pieces(text: str) -> list[bytes]:
+    """Words of a text as they are written, without markup, punctuation and quote marks."""
     if "<" in text:
         text = MARKUP.sub(" ", text)
     if "&" in text:
         text = html.unescape(text)
-    text = text.lower()
     if not text.isascii():
         text = MARKS.sub(" ", QUOTES.sub("", HIDDEN.sub("", text)))
     return text.encode("utf-8", "replace").translate(BREAKS, b"'`").split()
 
 
-class Items:
-    """A block of items: vocabulary, templates, and windows sorted by hash."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        split = [(i, words_of(t)) for i, t in items if t]
-        split = [(i, w) for i, w in split if len(w) >= LEAST]
-        df = Counter(w for _, ws in split for w in set(ws))
-        least = max(3, COMMON * len(split))
-        self.vocab = {w: n for n, w in enumerate(df, 4)}  # 0: a word in no item
-        kind = np.zeros(len(df) + 4, np.int64)
-        for w, n in self.vocab.items():
-            kind[n] = NUMBER if w.isdigit() else UNIT if w.decode() in UNITS else n if df[w] >= least else NAME
-        self.kind = kind
-        self.ids = np.array([i for i, _ in split], np.int64)
-        words = [np.array([self.vocab[x] for x in w], np.int64) for _, w in split]
-        self.start = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
-        self.words = np.concatenate(words) if words else np.empty(0, np.int64)
-        at = [np.arange(s, e - WINDOW + 1) for s, e in zip(self.start[:-1], self.start[1:])]
-        pos = np.concatenate(at) if at else np.empty(0, np.int64)
-        h = window_hash(kind[self.words])[pos] if len(self.words) >= WINDOW else np.empty(0, np.uint64)
-        order = np.argsort(h, kind="stable")
-        self.hash, self.pos = h[order], pos[order]
-        self.slots = window_hash(self.words)[self.pos] if len(self.words) >= WINDOW else np.empty(0, np.uint64)
-
-
-def window_hash(ids: np.ndarray) -> np.ndarray:
-    """Hash of each `WINDOW` successive ids."""
-    n = len(ids) - WINDOW + 1
+def words_of(text: str) -> list[bytes]:
+    """Words without case, markup, punctuation and quote marks."""
+    return [w.decode().lower().encode() for w in pieces(text)]
+
+
+class Ids(dict):
+    """Ids of words met: a hash of the word without case, and its form in the low bits."""
+
+    def __missing__(self, piece: bytes) -> int:
+        word = piece.decode()
+        low = word.lower()
+        form = NUMBER if low.isdigit() else FUNCTION if low in ROLE_OF else NAME if word[0] != low[0] else OTHER
+        got = self[piece] = int.from_bytes(blake2b(low.encode(), digest_size=8).digest(), "little") & ~15 | 16 | form
+        return got
+
+    def of(self, text: str) -> np.ndarray:
+        if len(self) > KNOWN_WORDS:
+            self.clear()
+        ps = pieces(text)
+        return np.fromiter(map(self.__getitem__, ps), np.uint64, len(ps))
+
+
+class Words:
+    """Words of a text: `same` (ids without form), `form`, `unit` (place behind a number), hashes of the exact windows and of the template windows.
+
+    A window without a name has one template only; `at` is the place of each template.
+    """
+
+    __slots__ = ("same", "form", "unit", "exact", "template", "at")
+
+    def __init__(self, ids: np.ndarray):
+        self.form = (ids & FORM).astype(np.int8)
+        self.same = ids & ~FORM
+        behind = np.zeros(len(ids), bool)
+        behind[1:] = self.form[:-1] == NUMBER
+        self.unit = behind & ((self.form == OTHER) | (self.form == NAME))
+        first = np.where(self.form == NUMBER, NUMBER_SLOT, self.same)  # what is in front of a window does not alter it
+        bare = np.where(self.unit, UNIT_SLOT, first)
+        named = np.where((self.form == NAME) & ~self.unit, NAME_SLOT, bare)
+        first_named = np.where(self.form == NAME, NAME_SLOT, first)
+        self.exact = window_hash(self.same, self.same)
+        bare_hash = _templates(first, bare, self.exact, np.uint64(1))
+        names = np.concatenate([[0], np.cumsum((self.form == NAME))])
+        at = np.nonzero(names[WINDOW:] > names[: len(bare_hash)])[0]
+        self.template = np.concatenate([bare_hash, _templates(first_named, named, self.exact, np.uint64(2))[at]])
+        self.at = np.concatenate([np.arange(len(bare_hash)), at])
+
+
+def window_hash(first: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """Hash of each `WINDOW` successive ids, the first of them taken from `first`."""
+    n = len(rest) - WINDOW + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    h = np.zeros(n, np.uint64)
-    for k in range(WINDOW):
-        h = h * BASE + ids[k : k + n].astype(np.uint64)
+    h = first[:n].copy()
+    for k in range(1, WINDOW):
+        h = h * BASE + (rest[k : k + n] ^ (rest[k : k + n] >> np.uint64(31)))
     return h ^ (h >> np.uint64(29))
 
 
+def _templates(first: np.ndarray, rest: np.ndarray, exact: np.ndarray, salt: np.uint64) -> np.ndarray:
+    n = len(exact)
+    if not n:
+        return exact
+    plain = np.concatenate([[0], np.cumsum(rest >= 16)])
+    enough = plain[WINDOW:] - plain[1 : n + 1] + (first[:n] >= 16) >= PLAIN
+    return np.where(enough, window_hash(first, rest), exact) * BASE + salt
+
+
+class Items:
+    """A block of items: their words and their template windows sorted by hash."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray]]):
+        split = [(i, Words(w)) for i, w in items if len(w) >= LEAST]
+        self.ids = np.array([i for i, _ in split], np.int64)
+        self.start = np.concatenate([[0], np.cumsum([len(w.same) for _, w in split])]).astype(np.int64)
+        join = lambda name, kind: np.concatenate([getattr(w, name) for _, w in split]) if split else np.empty(0, kind)
+        self.same, self.form, self.unit = join("same", np.uint64), join("form", np.int8), join("unit", bool)
+        hashes, exact = join("template", np.uint64), np.concatenate([w.exact[w.at] for _, w in split]) if split else np.empty(0, np.uint64)
+        pos = np.concatenate([s + w.at for s, (_, w) in zip(self.start, split)]) if split else np.empty(0, np.int64)
+        order = np.argsort(hashes, kind="stable")
+        self.hash, self.pos, self.exact = hashes[order], pos[order], exact[order]
+
+
 def longest_run(same: np.ndarray) -> int:
     """Length of the longest stretch that begins and ends with an unchanged word and has at most a tenth changed."""
     score = np.concatenate([[0], np.cumsum(np.where(same, 1, -9))])  # sum >= 0 over a stretch: changed * 10 <= length
@@ -109,75 +162,118 @@ def longest_run(same: np.ndarray) -> int:
     return best
 
 
-def leaks_in(words: list[bytes], items: Items) -> tuple[dict[int, int], int]:
-    """{item number: longest run of its words} of one document, and windows with other slots."""
-    if len(words) < LEAST:
-        return {}, 0
-    get = items.vocab.get
-    ids = np.fromiter(map(get, words, repeat(0)), np.int64, len(words))
-    kinds = items.kind[ids]
-    # A word in no item stands for a placeholder too, but cannot agree; windows with one are no passage.
-    known = np.concatenate([[0], np.cumsum(ids > 0)])
-    full = np.nonzero(known[WINDOW:] - known[:-WINDOW] == WINDOW)[0]
-    if not len(full):
-        return {}, 0
-    template = window_hash(kinds)[full]
-    a = np.searchsorted(items.hash, template, "left")
-    b = np.searchsorted(items.hash, template, "right")
-    n = b - a
-    if not n.any():
-        return {}, 0
-    d = np.repeat(full, n)
-    k = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
-    agree = window_hash(ids)[d] == items.slots[k]
-    other = int((~agree).sum())
-    d, p = d[agree], items.pos[k[agree]]
-    out: dict[int, int] = {}
-    if len(d):
-        item = np.searchsorted(items.start, p, "right") - 1
-        for i, shift in set(zip(item.tolist(), (p - d).tolist())):
-            s, e = int(items.start[i]), int(items.start[i + 1])
-            lo, hi = max(s, shift), min(e, len(ids) + shift)
-            if hi - lo < LEAST:
-                continue
-            same = items.words[lo:hi] == ids[lo - shift : hi - shift]
-            if 10 * np.count_nonzero(same) >= 9 * LEAST and (run := longest_run(same)) >= LEAST:
-                out[i] = max(run, out.get(i, 0))
-    return out, other
-
-
-def leaked(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """(doc_id, item_id, words): documents, the items they hold, and the longest run of an item's words."""
+def clean_run(ok: np.ndarray) -> tuple[int, int]:
+    """Begin and end of the longest stretch without a False."""
+    wrong = np.nonzero(~ok)[0]
+    if not len(wrong):
+        return 0, len(ok)
+    edge = np.empty(len(wrong) + 2, np.int64)
+    edge[0], edge[1:-1], edge[-1] = -1, wrong, len(ok)
+    k = int((edge[1:] - edge[:-1]).argmax())
+    return int(edge[k]) + 1, int(edge[k + 1])
+
+
+def consistent_run(same: np.ndarray, slot: np.ndarray, fits: np.ndarray, old: np.ndarray, new: np.ndarray) -> tuple[int, int]:
+    """(words, replaced) of the longest run whose ordinary words agree and whose slots hold new values of their type, one new value for each old one."""
+    ok = same | (slot & fits)
+    while True:
+        a, b = clean_run(ok)
+        if b - a < LEAST or not (at := np.nonzero(slot[a:b] & ~same[a:b])[0] + a).size:
+            return 0, 0
+        taken: dict[int, int] = {}
+        bad = [k for k in (np.nonzero(slot[a:b])[0] + a).tolist() if taken.setdefault(int(old[k]), int(new[k])) != int(new[k])]
+        if not bad:
+            return (b - a, len(at)) if 2 * np.count_nonzero(~slot[a:b]) >= b - a else (0, 0)
+        ok = ok.copy()
+        ok[bad] = False
+
+
+def leaks_in(words: Words, items: Items) -> dict[int, tuple[int, int, int]]:
+    """{item number: (words, template_words, replaced)} of one document."""
+    n = len(words.same)
+    if n < LEAST or not len(items.hash):
+        return {}
+    a = np.searchsorted(items.hash, words.template, "left")
+    met = np.nonzero(items.hash[np.minimum(a, len(items.hash) - 1)] == words.template)[0]
+    if not len(met):
+        return {}
+    a = a[met]
+    k = np.searchsorted(items.hash, words.template[met], "right") - a
+    d = np.repeat(words.at[met], k)
+    at = np.repeat(a - np.concatenate([[0], np.cumsum(k)[:-1]]), k) + np.arange(int(k.sum()))
+    p = items.pos[at]
+    agree = words.exact[d] == items.exact[at]
+    item = np.searchsorted(items.start, p, "right") - 1
+    line, back, hits = np.unique((item << 32) + (p - d - items.start[item]) + (1 << 31), return_inverse=True, return_counts=True)
+    exact = np.bincount(back, agree, len(line)) > 0
+    out: dict[int, tuple[int, int, int]] = {}
+    # A clean template run of `LEAST` words has that many windows, in at least one of the two templates; a few may keep their words.
+    worth = exact | (hits >= LEAST - WINDOW - 3)
+    for key, is_exact in zip(line[worth].tolist(), exact[worth].tolist()):
+        i = key >> 32
+        s, e = int(items.start[i]), int(items.start[i + 1])
+        shift = (key & 0xFFFFFFFF) - (1 << 31) + s
+        lo, hi = max(s, shift), min(e, n + shift)
+        if hi - lo < LEAST:
+            continue
+        it, doc = slice(lo, hi), slice(lo - shift, hi - shift)
+        same = items.same[it] == words.same[doc]
+        run = longest_run(same) if is_exact and 10 * np.count_nonzero(same) >= 9 * LEAST else 0
+        form, unit = items.form[it], items.unit[it]
+        slot = (form == NUMBER) | unit | (form == NAME)
+        fits = np.where(form == NUMBER, words.form[doc] == NUMBER, np.where(unit, words.unit[doc], (words.form[doc] == NAME) | (words.form[doc] == OTHER)))
+        long, replaced = consistent_run(same, slot, fits, items.same[it], words.same[doc]) if not same.all() else (0, 0)
+        if run >= LEAST or long:
+            was = out.get(i, (0, 0, 0))
+            out[i] = max(was[0], run if run >= LEAST else 0), *max(was[1:], (long, replaced))
+    return out
+
+
+def leaked(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(doc_id, item_id, words, template_words, replaced): documents and the items they hold; a run that is too short counts 0."""
     spark = documents.sparkSession
     ship(spark)
     docs = documents.select(doc_id, "text").where("text is not null")
+    schema = f"{doc_id} long, {item_id} long, words int, template_words int, replaced int"
     out = None
-    for block in _blocks(items.select(item_id, "text").where("text is not null"), item_id, block_items):
+    for block in _blocks(items.select(item_id, "text").where("text is not null"), block_words):
         held = spark.sparkContext.broadcast(Items(block))
 
         def run(parts: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            at = held.value
+            at, ids = held.value, Ids()
             for p in parts:
                 rows = []
                 for d, t in zip(p[doc_id], p.text):
-                    got, _ = leaks_in(words_of(t), at)
-                    rows += [(d, int(at.ids[i]), n) for i, n in got.items()]
-                yield pd.DataFrame(rows, columns=[doc_id, item_id, "words"])
+                    rows += [(d, int(at.ids[i]), *n) for i, n in leaks_in(Words(ids.of(t)), at).items()]
+                yield pd.DataFrame(rows, columns=[doc_id, item_id, "words", "template_words", "replaced"])
 
-        got = docs.mapInPandas(run, f"{doc_id} long, {item_id} long, words long")
+        got = docs.mapInPandas(run, schema)
         out = got if out is None else out.unionByName(got)
     if out is None:
-        return docs.selectExpr(f"{doc_id} as {doc_id}", f"cast(null as long) as {item_id}", "cast(null as long) as words").where("false")
-    return out.groupBy(doc_id, item_id).agg({"words": "max"}).withColumnRenamed("max(words)", "words")
+        return spark.createDataFrame([], schema)
+    return out.groupBy(doc_id, item_id).agg(F.max("words").alias("words"), F.max(F.struct("template_words", "replaced")).alias("t")).select(doc_id, item_id, "words", "t.template_words", "t.replaced")
 
 
-def _blocks(items: DataFrame, item_id: str, size: int) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of bounded size; no more than one block is held at a time."""
-    block: list[tuple[int, str]] = []
-    for r in items.orderBy(item_id).toLocalIterator():
-        block.append((r[0], r[1]))
-        if len(block) == size:
+def _blocks(items: DataFrame, size: int) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """The items in blocks of bounded size; no more than one block and one partition of items is held at a time."""
+    block: list[tuple[int, np.ndarray]] = []
+    held, ids = 0, Ids()
+    for r in items.toLocalIterator():
+        w = ids.of(r[1])
+        if block and held + len(w) > size:
             yield block
-            block = []
+            block, held = [], 0
+        block.append((r[0], w))
+        held += len(w)
     if block:
         yield block
+
+
+def verbatim(found: DataFrame) -> DataFrame:
+    """The rows of `leaked` that hold a passage as it is."""
+    return found.where(F.col("words") >= LEAST)
+
+
+def reparameterised(found: DataFrame) -> DataFrame:
+    """The rows of `leaked` that hold a passage with other values in its slots."""
+    return found.where((F.col("template_words") >= LEAST) & (F.col("replaced") > 0))

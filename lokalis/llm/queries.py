@@ -43,7 +43,11 @@ def p7_packed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return eval_leaks.leaked(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+    return eval_leaks.verbatim(eval_leaks.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))).select("doc_id", "item_id")
+
+
+def p8_reparameterised(spark: SparkSession, d: str) -> DataFrame:
+    return eval_leaks.reparameterised(eval_leaks.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))).select("doc_id", "item_id", "template_words", "replaced")
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -53,7 +57,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found, "p1_confidence": p1_confidence, "p2_found": p2_found, "p2_canonical": p2_canonical, "p3_found": p3_found, "p5_found": p5_found,
-        "p6_found": p6_found, "p7_packed": p7_packed, "p8_found": p8_found, "p9_found": p9_found,
+        "p6_found": p6_found, "p7_packed": p7_packed, "p8_found": p8_found, "p8_reparameterised": p8_reparameterised, "p9_found": p9_found,
     }
 
 

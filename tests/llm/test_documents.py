@@ -88,14 +88,31 @@ def test_leaks_against_brute_force(spark):
             part[rnd.randrange(len(part))] = "roughly"
         docs.append((k, "Fans of beer said: <b>" + "\n".join(" ".join(part[i : i + 7]) for i in range(0, n, 7)).upper() + "</b>, as they say. " + item(rnd)))
     docs += [(900, None), (901, ""), (902, items[3][1].replace("'", "’").replace(" ", "  ")), (902, items[3][1])]
-    got = {(r["doc_id"], r["item_id"]): r["words"] for r in eval_leaks.leaked(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items + [(77, None), (78, "too short")], "item_id long, text string")).collect()}
+    got = {(r["doc_id"], r["item_id"]): r["words"] for r in eval_leaks.verbatim(eval_leaks.leaked(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items + [(77, None), (78, "too short")], "item_id long, text string"))).collect()}
     want = {(d, i): n for d, t in docs if t for i, x in items if (n := brute(t, x)) >= 15}
     assert got == want and len(want) > 30
-    blocks = eval_leaks.leaked(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_items=5)
+    blocks = eval_leaks.verbatim(eval_leaks.leaked(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_words=200))
     assert {(r["doc_id"], r["item_id"]) for r in blocks.collect()} == set(want)
     assert eval_leaks.leaked(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_reparameterised_questions_are_caught(spark):
+    rnd = random.Random(12)
+    name = lambda: "".join(rnd.choice("bcdfgklmnprst") + rnd.choice("aeiou") for _ in range(3)).capitalize()
+    ask = lambda a, b, n, m: f"In {n} the {a} cellar flooded to step {m} and the brewers of {b} paid {n} groats to {a}, so how many casks were left in {b} when the water had gone?"
+    items = [(1, ask("Zadeka", "Morilu", 1880, 426)), (2, item(rnd)), (3, item(rnd))]
+    value = lambda: (name(), name(), rnd.randint(1000, 1999), rnd.randint(100, 900))
+    other = ask(*value())
+    mixed = other.replace("groats to " + other.split()[3], "groats to Anotherone")
+    docs = [(1, "Quiz night: " + ask(*value())), (2, "As he said, " + other + " Nobody knew."), (3, items[0][1]), (4, other[: len(other) // 3]), (5, mixed), (6, "Nothing of the kind."), (7, "<a " + "x" * 2000 + ">" + items[1][1])]
+    found = eval_leaks.leaked(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    new = {(r["doc_id"], r["item_id"]): (r["template_words"], r["replaced"]) for r in eval_leaks.reparameterised(found).collect()}
+    n = len(items[0][1].split())
+    assert {k for k, v in new.items() if v[0] == n} == {(1, 1), (2, 1)} and new[(1, 1)][1] == 7
+    assert (3, 1) not in new and (4, 1) not in new and new.get((5, 1), (0, 0))[0] < n  # the same old value, two new ones
+    assert {(r["doc_id"], r["item_id"]) for r in eval_leaks.verbatim(found).collect()} == {(3, 1), (7, 2)}
+
+
 def sentence(rnd):
     w = lambda: "".join(rnd.choice("bcdfgklmnprst") + rnd.choice("aeiou") for _ in range(rnd.randint(2, 4)))
     n = lambda: w().capitalize()
