@@ -163,4 +163,16 @@ def test_joined_words_and_links_are_all_counted(spark):
     assert all(words[len(prose) + k] >= 300 for k in range(len(junk)))
     assert {r["doc_id"] for r in junk_pages.junk_pages(df).collect()} == set(range(len(prose), len(prose) + len(junk)))
     classes = lambda t: junk_pages.encoded(t, junk_pages.Known())
-    assert len(classes("#a," * 400)) == 800 and classes("https://a.example/,www.b.example/x") == classes("https://a.example/, www.b.example/x")
+    assert len(classes("#a," * 400)) == 1 + 800 and classes("https://a.example/,www.b.example/x") == classes("https://a.example/, www.b.example/x")
+
+
+def test_both_tails_flag_pages(spark):
+    """Links are perplexing to the class model; ordinary sentences said over and over are predictable to the cache model."""
+    rnd = random.Random(10)
+    prose = [" ".join(sentence(rnd) for _ in range(20)) for _ in range(120)]
+    links = " ".join(f"https://x{rnd.randint(1, 9999)}.example/{rnd.randint(1, 99)}" for _ in range(60))
+    said = "The cheap beer of the town is the best beer of the town, and nobody in the town has a cheap beer like it. " * 12
+    df = spark.createDataFrame(list(enumerate([*prose, links, said, "The cheap beer of the town is the best beer of the town, and nobody has one like it."])), "doc_id long, text string")
+    assert {r["doc_id"] for r in junk_pages.junk_pages(df).collect()} == {len(prose), len(prose) + 1}
+    _, c, state, _ = junk_pages.decoded(junk_pages.encoded(said, junk_pages.Known()))
+    assert (state == 3).sum() > 8 * (state == 1).sum()
