@@ -22,23 +22,25 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lokalis.llm.edits import deletes, osa
-from lokalis.llm.names import Name, neighbourhood, parse, same_name, soft, sounds
-from lokalis.runtime import ship, spread
+from lokalis.llm.edits import deletes
+from lokalis.llm.names import MOST_COST, NICK, Name, near_nick, neighbourhood, parse, same_name, soft, sounds, word_cost
+from lokalis.runtime import sent, ship, spread
 
 LEFT_ROWS, RIGHT_ROWS = 60_000, 10_000  # names of a group that one task takes
-BRANCH_WORDS = 500  # most words kept that name branches
+BRANCH_SHARE = 0.002  # a word that ends so large a share of the names with a branch names branches
+ACCENTED, UNACCENTED = "áàâäãåéèêëíìîïóòôöõøúùûüñçÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕØÚÙÛÜÑÇ", "aaaaaaeeeeiiiioooooouuuuncAAAAAAEEEEIIIIOOOOOOUUUUNC"
 SHARED_PLACES = 0.01  # a word in so large a share of a group's place lines is part of a town's name
 
 
-def branch_words(*names: DataFrame, least: int = 5) -> list[str]:
-    """The most frequent words that stand behind a dash or @ at the end of a name: a vocabulary, no more than `BRANCH_WORDS`."""
+def branch_words(*names: DataFrame) -> list[str]:
+    """Words that end at least `BRANCH_SHARE` of the names that have a dash or @ before their last word; so no more than 1 / `BRANCH_SHARE`."""
     all_names = names[0]
     for n in names[1:]:
         all_names = all_names.unionByName(n)
-    word = F.lower(F.regexp_extract("name", r"\s[-–@]\s*([A-Za-z]{4,})$", 1))
-    got = all_names.select(word.alias("w")).where("w <> ''").groupBy("w").count().where(F.col("count") >= least).orderBy(F.desc("count"), "w").limit(BRANCH_WORDS).collect()
-    return [r["w"] for r in got]
+    word = F.lower(F.translate(F.regexp_extract("name", r"\s[-–—@]\s*(\p{L}{4,})$", 1), ACCENTED, UNACCENTED))
+    ends = all_names.select(word.alias("w")).where("w <> ''").groupBy("w").agg(F.count("*").alias("n"))
+    got = ends.crossJoin(ends.agg(F.sum("n").alias("all"))).where(F.col("n") >= F.greatest(F.lit(2), BRANCH_SHARE * F.col("all"))).select("w").collect()
+    return sorted(r["w"] for r in got)
 
 
 def index_keys(n: Name) -> list[frozenset]:
@@ -71,10 +73,14 @@ class WordIndex:
 
     def __init__(self, words: Iterable[str]):
         self.index: dict[str, list[str]] = defaultdict(list)
+        self.begins: dict[str, list[str]] = defaultdict(list)
         self.known: dict[str, tuple[str, ...]] = {}
-        for w in dict.fromkeys(words):
+        self.words = dict.fromkeys(words)
+        for w in self.words:
             for k in neighbourhood(w):
                 self.index[k].append(w)
+            for k in range(3, len(w) - 1):
+                self.begins[w[:k]].append(w)
 
     def near(self, word: str) -> tuple[str, ...]:
         got = self.known.get(word)
@@ -82,7 +88,12 @@ class WordIndex:
             seen: set[str] = set()
             for k in self.index.keys() & neighbourhood(word):
                 seen.update(self.index[k])
-            got = self.known[word] = tuple(w for w in seen if w == word or osa(word, w, 3) <= 3)
+            seen.update(self.begins.get(word, ()))  # a cut form on this side, or on the other
+            seen.update(word[:k] for k in range(3, len(word) - 1) if word[:k] in self.words)
+            for k in near_nick(word):  # a short form of a given name, mistyped
+                if NICK[k] != word and NICK[k] in self.words:
+                    seen.add(NICK[k])
+            got = self.known[word] = tuple(w for w in seen if w == word or word_cost(word, w) <= MOST_COST)
         return got
 
 
@@ -144,19 +155,17 @@ def link_names(left: DataFrame, right: DataFrame, places: DataFrame, left_rows:
     a = left.where(F.trim("name") != "").select("grp", "name").distinct().withColumn("side", F.lit(0))
     b = right.where(F.trim("name") != "").select("grp", "name").distinct().withColumn("side", F.lit(1))
     both = a.unionByName(b)
-    # Groups beyond the bounds: few, as each holds more than that many names. Their names are cut into blocks by hash; every
-    # block of left names meets every block of right names through the index, not pair by pair.
-    sizes = both.groupBy("grp").agg(F.count_if(F.col("side") == 0).alias("l"), F.count_if(F.col("side") == 1).alias("r"))
-    large = {x["grp"]: (-(-x["l"] // left_rows) or 1, -(-x["r"] // right_rows) or 1) for x in sizes.where((F.col("l") > left_rows) | (F.col("r") > right_rows)).collect()}
+    # The names of a group beyond the bounds are cut into blocks by hash; every block of left names meets every block of right names
+    # through the index, not pair by pair.
     words = places.select("grp", F.col("word").alias("name"), F.lit(2).alias("side"))
-    rows = both.unionByName(words).withColumn("salt", F.lit(0))
-    if large:
-        kind = both.schema["grp"].dataType.simpleString()
-        blocks = F.broadcast(spark.createDataFrame([(g, l, r) for g, (l, r) in large.items()], f"g {kind}, l int, r int"))
-        h = F.pmod(F.xxhash64("name"), F.when(F.col("side") == 0, F.col("l")).otherwise(F.col("r"))).cast("int")
-        range_ = lambda n: F.sequence(F.lit(0), n - 1)
-        at = F.when(F.col("side") == 0, F.transform(range_(F.col("r")), lambda k: h * F.col("r") + k)).when(F.col("side") == 1, F.transform(range_(F.col("l")), lambda k: k * F.col("r") + h)).otherwise(range_(F.col("l") * F.col("r")))
-        rows = rows.join(blocks, rows["grp"].eqNullSafe(F.col("g")), "left").select("grp", "name", "side", F.explode(F.when(F.col("l").isNull(), F.array(F.lit(0))).otherwise(at)).alias("salt"))
+    blocks = lambda side, most: F.ceil(F.count_if(F.col("side") == side) / most).cast("int")
+    large = both.groupBy("grp").agg(F.greatest(F.lit(1), blocks(0, left_rows)).alias("l"), F.greatest(F.lit(1), blocks(1, right_rows)).alias("r")).where("l > 1 or r > 1").withColumnRenamed("grp", "g")
+    rows = both.unionByName(words)
+    rows = rows.join(sent(large), rows["grp"].eqNullSafe(F.col("g")), "left").na.fill(1, ["l", "r"])
+    h = F.pmod(F.xxhash64("name"), F.when(F.col("side") == 0, F.col("l")).otherwise(F.col("r"))).cast("int")
+    range_ = lambda n: F.sequence(F.lit(0), n - 1)
+    at = F.when(F.col("side") == 0, F.transform(range_(F.col("r")), lambda k: h * F.col("r") + k)).when(F.col("side") == 1, F.transform(range_(F.col("l")), lambda k: k * F.col("r") + h)).otherwise(range_(F.col("l") * F.col("r")))
+    rows = rows.select("grp", "name", "side", F.explode(at).alias("salt"))
 
     def match(key: tuple[Any, ...], p: pd.DataFrame) -> pd.DataFrame:
         side = p.side.to_numpy()
@@ -173,10 +182,11 @@ def link_names(left: DataFrame, right: DataFrame, places: DataFrame, left_rows:
 
 def town_words(refs: DataFrame, group: str, line: str) -> DataFrame:
     """(grp, word): words in at least `SHARED_PLACES` of a group's place lines (so at most some hundred for each group)."""
-    word = F.explode(F.array_distinct(F.split(F.lower(F.translate(line, "áàâäãåéèêëíìîïóòôöõøúùûüñç", "aaaaaaeeeeiiiioooooouuuunc")), r"[^\p{L}]+")))
+    word = F.explode(F.array_distinct(F.split(F.lower(F.translate(line, ACCENTED, UNACCENTED)), r"[^\p{L}]+")))
     n = refs.where(F.col(line) != "").groupBy(F.col(group).alias("grp")).agg(F.count("*").alias("all"))
     each = refs.where(F.col(line) != "").select(F.col(group).alias("grp"), word.alias("word")).where(F.length("word") >= 3).groupBy("grp", "word").count()
-    return each.join(n, "grp").where((F.col("count") >= 3) & (F.col("count") >= SHARED_PLACES * F.col("all"))).select("grp", "word")
+    n = n.withColumnRenamed("grp", "g")
+    return each.join(n, each["grp"].eqNullSafe(n["g"])).where((F.col("count") >= 3) & (F.col("count") >= SHARED_PLACES * F.col("all"))).select("grp", "word")
 
 
 def variant_pairs(refs: DataFrame, resolutions: DataFrame) -> DataFrame:
@@ -185,5 +195,6 @@ def variant_pairs(refs: DataFrame, resolutions: DataFrame) -> DataFrame:
     b = resolutions.select(F.col("sweep_no").alias("grp"), "name")
     links = link_names(a, b, town_words(refs, "sweep_no", "city"))
     l = refs.select("ref_id", F.col("sweep_no").alias("grp"), F.col("name").alias("left"))
-    r = resolutions.select("res_id", F.col("sweep_no").alias("grp"), F.col("name").alias("right"))
-    return l.join(links.join(r, ["grp", "right"]), ["grp", "left"]).select("ref_id", "res_id", "confidence")
+    r = resolutions.select("res_id", F.col("sweep_no").alias("grp_r"), F.col("name").alias("right_r"))
+    met = links.join(r, links["grp"].eqNullSafe(r["grp_r"]) & (links["right"] == r["right_r"])).select(links["grp"].alias("grp_l"), links["left"].alias("left_l"), "res_id", "confidence")
+    return l.join(met, l["grp"].eqNullSafe(met["grp_l"]) & (l["left"] == met["left_l"])).select("ref_id", "res_id", "confidence")

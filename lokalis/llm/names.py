@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import lru_cache
 
 from lokalis.llm.edits import Lexicon, deletes, osa
@@ -23,19 +24,22 @@ NICK = {
 }
 # Words that say what kind of house it is, by kind.
 KINDS = {
-    "brewery": ["brewery", "breweries", "brewing", "brwg", "brewg", "brg", "brew", "brw", "brewers", "brewpub", "company", "comp", "co", "cmpy", "cpy", "craft", "beer", "bier", "brewhouse", "brau", "brauerei", "brauhaus", "cerveceria", "brasserie", "birrificio", "μπυραρια", "пивная", "ビール", "פאב", "bery", "brwry", "bry", "brwy"],
-    "house": ["house", "hse", "public", "pub", "ph", "alehouse", "ale", "beerhouse", "hae", "bh"],
-    "garden": ["garden", "gdn", "grdn", "gardens", "biergarten", "beergarden", "gard", "bg"],
-    "shop": ["shop", "bottle", "btl", "store", "bottleshop", "btlshop", "bottleshoppe", "shp", "bs"],
-    "tap": ["taproom", "tap", "taprm", "taproo", "room", "rm", "taphouse", "trm"],
-    "kitchen": ["kitchen", "ktchn", "kitch", "ktch"],
-    "bar": ["bar", "bodega", "cafe", "tavern", "tvrn", "tav", "inn"],
+    "brewery": ["brewery", "breweries", "brewing", "brew", "brewers", "brewpub", "company", "comp", "co", "craft", "beer", "bier", "brewhouse", "brau", "brauerei", "brauhaus", "cerveceria", "brasserie", "birrificio"],
+    "house": ["house", "public", "pub", "ph", "alehouse", "ale", "beerhouse", "bh"],
+    "garden": ["garden", "gardens", "biergarten", "beergarden", "gard", "bg"],
+    "shop": ["shop", "bottle", "store", "bottleshop", "bottleshoppe", "bs"],
+    "tap": ["taproom", "tap", "room", "taphouse"],
+    "kitchen": ["kitchen", "kitch"],
+    "bar": ["bar", "bodega", "cafe", "tavern", "tav", "inn"],
     "gasthaus": ["gasthaus", "gasth", "gh", "zum", "gasthof"],
 }
 KIND_OF = {w: k for k, ws in KINDS.items() for w in ws}
 LONG_KINDS = Lexicon((w for w in KIND_OF if len(w) >= 5), 1)
 END_KIND = ["bar", "inn", "pub", "tap", "shop", "room", "beer", "house"]
-IGNORED = {"the", "and", "adn", "an", "nd", "n", "of", "s", "at", "und", "et", "y", "teh", "th", "te", "hte", "tge", "thr", "tne", "he", "ther"}
+# Words for such houses in other scripts.
+ELSEWHERE = ["μπυραρια", "ταβερνα", "μπαρ", "καφε", "пивная", "пивоварня", "таверна", "бар", "паб", "кафе", "ресторан", "פאב", "בר", "מבשלה", "ビール", "バー", "パブ", "居酒屋"]
+ELSEWHERE_NEAR = Lexicon(ELSEWHERE, 1), Lexicon([w for w in ELSEWHERE if len(w) >= 6], 2)
+IGNORED = {"the", "and", "n", "of", "s", "at", "und", "et", "y"}
 # Short forms that begin some names.
 OPENERS = {"st": "saint", "mt": "mount", "mnt": "mount", "ste": "saint", "sant": "saint"}
 # Letters of other scripts by their usual Latin letter.
@@ -65,6 +69,27 @@ def sounds(word: str) -> str:
 SAME = str.maketrans("cqjyw", "kkiiv")
 
 
+@lru_cache(maxsize=20_000)
+def skeleton(word: str) -> str:
+    """The kind word that a word without vowels is short for (its letters in order, the first and the last one, but for a final vowel, the same), or ''."""
+    if 2 <= len(word) <= 7 and not set(word[:-1]) & set("aeiou"):
+        for k in SKELETON_OF:
+            if k[0] == word[0] and word[-1] in (k[-1], k.rstrip("aeiou")[-1]) and len(k) > len(word) + 1 and 4 * len(word) >= len(k):
+                rest = iter(k)
+                if all(c in rest for c in word):
+                    return k
+    return ""
+
+
+SKELETON_OF = [w for w in KIND_OF if len(w) >= 4 and w.isascii()]
+
+
+@lru_cache(maxsize=20_000)
+def near_article(word: str, article: str) -> bool:
+    """Whether a word of up to four letters is an article or "and" mistyped."""
+    return 2 <= len(word) <= 4 and word not in KIND_OF and word not in NICK and osa(word, article, 1) <= 1
+
+
 @lru_cache(maxsize=50_000)
 def kind_of(word: str, last: bool) -> str:
     """Kind of house a word stands for, one typo allowed in a longer word; '' if none."""
@@ -72,6 +97,8 @@ def kind_of(word: str, last: bool) -> str:
         return KIND_OF[word]
     if len(word) >= 4 and (got := LONG_KINDS.near(word)):
         return KIND_OF[got[0]]
+    if short := skeleton(word):
+        return KIND_OF[short]
     if last and 2 <= len(word) <= 6:
         for w in END_KIND:
             if w[0] == word[0] and osa(word, w, 1) <= 1:
@@ -159,13 +186,11 @@ def parse(name: str, branches: frozenset = frozenset(), places: frozenset = froz
     branch, native, foreign = (near_word(said[1], branches) or said[1]) if said else "", False, []
     for i, w in enumerate(words):
         last = i == len(words) - 1
-        if w in IGNORED:
+        if w in IGNORED or len(words) > 2 and (i == 0 and near_article(w, "the") or 0 < i < len(words) - 1 and near_article(w, "and")):
             continue
         w = OPENERS.get(w, w)
         if not w.isascii() and script(w[0]) not in ("LATIN", ""):
-            if kind_of(w, False):
-                kinds.add("any")
-            elif osa(w, "μπυραρια", 2) <= 2 or osa(w, "пивная", 2) <= 2 or len(w) == 3 and osa(w, "ビール", 1) <= 1:
+            if ELSEWHERE_NEAR[0].near(w) if len(w) < 6 else ELSEWHERE_NEAR[1].near(w):
                 kinds.add("any")
             else:
                 foreign.append(latin(w))
@@ -185,7 +210,7 @@ def parse(name: str, branches: frozenset = frozenset(), places: frozenset = froz
     if not core and foreign:
         core, native = foreign, True
     if not core:
-        core = [w for w in words if w not in IGNORED][:3]
+        core = [w for w in words if w not in IGNORED]
     return Name(tuple(core), frozenset(kinds), branch, native, [NUMBERS.get(w, w) for w in words])
 
 
@@ -229,6 +254,9 @@ def word_cost(a: str, b: str) -> float:
     return 9.0
 
 
+MOST_COST = 2.2  # of an assignment that counts
+
+
 @lru_cache(maxsize=50_000)
 def soft(word: str) -> bool:
     """A word that may be missing: an article, "and", a kind of house, with typos."""
@@ -243,39 +271,59 @@ SOFT_SHORT = Lexicon(["the", "and", *(w for w in KIND_OF if 3 <= len(w) <= 5)],
 SOFT_LONG = Lexicon([w for w in KIND_OF if len(w) >= 5 and w.isascii()] + ["beer", "craft", "brewingcompany", "beercompany", "beergarden", "beerhouse", "bottleshop", "craftbrewery", "publichouse", "beerco", "bottlestore", "brewco"], 2)
 
 
-def assign(a: tuple[str, ...], b: tuple[str, ...]) -> float:
-    """Least total cost of giving each word of the shorter name a word of its own in the longer one; words left over must be soft."""
+def assign(a: tuple[str, ...], b: tuple[str, ...], most: float = MOST_COST) -> float:
+    """Least total cost of giving each word of the shorter name a word of its own in the longer one; words left over must be soft. 9 if it is over `most`.
+
+    Equal words of the longer name are one kind of which several may be used, so repeated words do not multiply the states.
+    """
     if len(a) > len(b):
         a, b = b, a
-    if len(b) > len(a) + 2:
-        return 9.0
+    types = list(Counter(b).items())
+    shift, at = [], 0
+    for _, n in types:
+        shift.append(at)
+        at += n.bit_length()
+    full = [n for _, n in types]
+    if len(b) > 12:  # a long name: words without a partner within the bound are known beforehand
+        here = set(b)
+        if sum(1 for w in a if w not in here) * 0.3 > most and sum(n for w, n in types if w not in set(a)) * 0.3 > most:
+            return 9.0
     states = {0: 0.0}
-    for w in a[:8]:
+    for w in sorted(a):
+        cost = [(j, c) for j, (x, _) in enumerate(types) if (c := word_cost(w, x)) <= most]
+        may_lack = soft(w)
         nxt: dict[int, float] = {}
         for used, c in states.items():
-            for j, x in enumerate(b[:10]):
-                if not used >> j & 1:
-                    t = c + word_cost(w, x)
-                    if t < 9 and t < nxt.get(used | 1 << j, 9.0):
-                        nxt[used | 1 << j] = t
-            if soft(w) and c + 0.5 < nxt.get(used, 9.0):
+            for j, k in cost:
+                if (used >> shift[j] & (1 << full[j].bit_length()) - 1) < full[j] and c + k <= most and c + k < nxt.get(t := used + (1 << shift[j]), 9.0):
+                    nxt[t] = c + k
+            if may_lack and c + 0.5 <= most and c + 0.5 < nxt.get(used, 9.0):
                 nxt[used] = c + 0.5
         states = nxt
+        if not states:
+            return 9.0
     best = 9.0
     for used, c in states.items():
-        if used and c < best:
-            over = [x for j, x in enumerate(b) if not used >> j & 1]
-            if all(soft(x) for x in over):
-                best = min(best, c + 0.3 * len(over))
+        if used:
+            over = [(x, n - (used >> shift[j] & (1 << n.bit_length()) - 1)) for j, (x, n) in enumerate(types)]
+            total = c + 0.3 * sum(n for _, n in over)
+            if total <= most and total < best and all(not n or soft(x) for x, n in over):
+                best = total
     return best
 
 
-def same_name(x: Name, y: Name, need_branch: bool = True) -> float:
-    """Confidence in (0, 1] that two names are of one venue; 0 if not. Without `need_branch`, one of them may lack its branch."""
+WEAK = 0.05  # similarity of names that other evidence must make up for
+
+
+def same_name(x: Name, y: Name, need_branch: bool = True, weak: bool = False) -> float:
+    """Confidence in (0, 1] that two names are of one venue; 0 if not. Without `need_branch`, one of them may lack its branch.
+
+    With `weak`, an assignment above the bound for the names' length still gives `WEAK`.
+    """
     if x.branch != y.branch and not (x.branch and y.branch and osa(x.branch, y.branch, 1) <= 1):
         if need_branch or x.branch and y.branch:
             return 0.0
-        return 0.85 * same_name(Name(x.core, x.kinds, "", x.native, x.words), Name(y.core, y.kinds, "", y.native, y.words))
+        return 0.85 * same_name(Name(x.core, x.kinds, "", x.native, x.words), Name(y.core, y.kinds, "", y.native, y.words), weak=weak)
     if x.kinds and y.kinds and not x.kinds & y.kinds and "any" not in x.kinds | y.kinds:
         return 0.0
     if x.native != y.native:
@@ -284,7 +332,9 @@ def same_name(x: Name, y: Name, need_branch: bool = True) -> float:
     cost = assign(x.core, y.core)
     if cost < 9:
         size = len(x.flat) + len(y.flat)
-        return max(0.05, 1 - cost / (1 + len(x.core))) if cost <= 0.7 or size >= 16 and cost <= 1.5 or size >= 24 and cost <= 2.2 else 0.0
+        if cost <= 0.7 or size >= 16 and cost <= 1.5 or size >= 24:
+            return max(0.05, 1 - cost / (1 + len(x.core)))
+        return WEAK if weak else 0.0
     # Words written together or apart: compared without blanks.
     a, b = x.squashed, y.squashed
     most = 3 if min(len(a), len(b)) >= 14 else 2 if min(len(a), len(b)) >= 9 else 1

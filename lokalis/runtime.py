@@ -7,6 +7,7 @@ import tempfile
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -28,6 +29,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def drop_cut(df: DataFrame) -> None:
+    """Delete what `cut` wrote for `df`, which nothing may read any more."""
+    sc = df.sparkSession.sparkContext
+    for part in _cut_files(df):
+        path = sc._jvm.org.apache.hadoop.fs.Path(part)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _cut_files(df: DataFrame) -> list[str]:
+    file = df._jdf.queryExecution().toRdd().getCheckpointFile()
+    if file.isDefined():
+        return [file.get()]
+    at = df._jdf.queryExecution().analyzed()
+    rdd = at.rdd() if at.nodeName() in ("LogicalRDD", "Scan ExistingRDD") else None
+    got = rdd.getCheckpointFile() if rdd is not None else None
+    return [got.get()] if got is not None and got.isDefined() else []
+
+
 def ship(spark: SparkSession) -> None:
     """Make the package importable in every Python worker, whatever PYTHONPATH it starts with."""
     sc = spark.sparkContext
@@ -54,6 +73,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+SENT_ROWS = 50_000
+
+
+def sent(df: DataFrame, most: int = SENT_ROWS) -> DataFrame:
+    """A small side of a join: computed once and broadcast if it has at most `most` rows, else joined by shuffle like any other."""
+    held = cut(df)
+    return F.broadcast(held) if held.count() <= most else held
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Rows by key in as many tasks as the session has; adaptive execution would join small but slow groups into few tasks."""
     return df.repartition(parallelism(df.sparkSession), *keys)

@@ -69,3 +69,28 @@ def test_blocks_find_what_one_task_finds(spark):
     none = spark.createDataFrame([], "grp long, word string")
     one, many = ({tuple(r) for r in name_variants.link_names(a, b, none, n, n).select("left", "right").collect()} for n in (10**6, 20))
     assert one == many and len(one) >= 60
+
+
+def test_long_names_are_compared_whole():
+    for n in (9, 20, 60):
+        words = [f"{a}{b}x" for a in ("Barton", "Quill", "Moss", "Thorn", "Wren", "Ember", "Gale", "Pike") for b in ("ley", "ham", "wick", "stead", "combe", "thorpe", "mere", "holt")][:n]
+        typo = [*words[1:], words[0][:-2] + words[0][-1] + words[0][-2]]
+        assert names.same_name(names.parse(" ".join(words)), names.parse(" ".join(words))) == 1.0
+        assert names.same_name(names.parse(" ".join(words)), names.parse(" ".join(typo))) > 0.5
+        assert names.same_name(names.parse(" ".join(words)), names.parse(" ".join([*words[:-3], "Other", "Strange", "Ending"]))) == 0.0
+    assert names.parse("Tap Room Shop Bar Garden Kitchen").core and names.same_name(names.parse("bar " * 5000), names.parse("bar " * 5000)) == 1.0
+
+
+def test_mistyped_articles_and_short_forms():
+    for a, b in (("Teh Golden Pig", "The Golden Pig"), ("Golden Pig adn Whistle", "Golden Pig and Whistle"), ("Golden Pig Brwry", "Golden Pig Brewery"), ("Golden Pig Tvrn", "Golden Pig Tavern"), ("Golden Pig Btl Shp", "Golden Pig Bottle Shop")):
+        assert names.same_name(names.parse(a), names.parse(b)) > 0.5, a
+
+
+def test_null_sweep_and_block_bounds(spark):
+    left = [(None, "Golden Pig Bar"), (1, "Silver Otter Inn"), (1, "Copper Kettle"), (1, "Marlb. Wheel"), (2, "Golden Pig Bar")]
+    right = [(None, "Goldne Pig Bar"), (1, "Silver Oter Inn"), (1, "Coper Kettle"), (1, "Marlborough Wheel"), (2, "Silver Otter Inn")]
+    a, b = spark.createDataFrame(left, "grp long, name string"), spark.createDataFrame(right, "grp long, name string")
+    none = spark.createDataFrame([], "grp long, word string")
+    want = {(None, "Golden Pig Bar", "Goldne Pig Bar"), (1, "Silver Otter Inn", "Silver Oter Inn"), (1, "Copper Kettle", "Coper Kettle")}
+    for bounds in ((60_000, 10_000), (1, 1), (2, 1)):
+        assert {(r["grp"], r["left"], r["right"]) for r in name_variants.link_names(a, b, none, *bounds).collect()} >= want, bounds
