@@ -50,7 +50,7 @@ def test_pairs_copies_and_salting(spark):
     assert len(got) == len(set(got)) and set(got) == want
     assert addresses.address_pairs(df.where("false"), cities).count() == 0
     recs = df.selectExpr("ref_id as id", "sweep_no as grp", "address", "city").where("address is not null")
-    none = spark.createDataFrame([], "grp long, word string")
+    none = frozenset()
     key = lambda n: {tuple(sorted(r[:2])) for r in addresses.link_addresses(recs, none, n).collect()}
     assert key(3) == key(20_000)
 
@@ -61,3 +61,23 @@ def test_a_town_rare_in_its_sweep_is_known(spark):
     df = spark.createDataFrame(many + rare, "ref_id long, sweep_no long, address string, city string")
     cities = spark.createDataFrame([("York",), ("Old Nejawick",), ("Theafarkville",)], "city_name string")
     assert {(r[0], r[1]) for r in addresses.address_pairs(df, cities).collect()} == {(500, 501), (502, 504)}
+
+
+def test_long_house_numbers():
+    assert addresses.match_addresses([(1, "12345 Elm Street", None), (2, "12345 Elm Str., Suite 4", None)], TOWNS)
+    assert not addresses.match_addresses([(1, "12345 Elm Street", None), (2, "12346 Elm Street", None)], TOWNS)
+    assert addresses.parse("Elm Street 5, 12345 Soskistzell", None, TOWNS).number == "5" and addresses.parse("12345 Soskistzell", None, TOWNS) is None
+
+
+def test_kinds_are_part_of_the_alignment():
+    one, two = addresses.parse("5 Oaken Street", None, TOWNS), addresses.parse("5 Oaken Str", None, TOWNS)
+    assert one.street == ("oaken", "~street") and addresses.street_cost(one.street, two.street) == pytest.approx(addresses.KIND_SHORT)
+    assert addresses.street_cost(("oaken",), ("oaken", "~street")) == pytest.approx(addresses.KIND_GAP)
+    assert addresses.street_cost(("oaken",), ("oakn",)) == pytest.approx(0.25)
+
+
+def test_null_groups_are_spread(spark):
+    rows = [(i, None, f"{i % 5} Oak {'Road' if i % 2 else 'Rd'}", f"c{i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, grp long, address string, city string")
+    pairs = [{tuple(sorted(r[:2])) for r in addresses.link_addresses(df, frozenset(), n).collect()} for n in (3, 20_000)]
+    assert pairs[0] == pairs[1] and len(pairs[0]) == 4 * 16  # number 0 is none
