@@ -1,7 +1,7 @@
 """Free-entered values mapped to the closest entry of a reference list.
 
 Method: set-similarity join with prefix filter. A value's readings (the whole line, its parts, neighbouring parts together)
-and the entries are sets of word-wise letter pairs. Pairs are ordered by their rarity in the list; two sets with Jaccard
+and the entries are sets of word-wise letter pairs, word borders included. Pairs are ordered by their rarity in the list; two sets with Jaccard
 similarity of at least `MIN_JACCARD` share a token within their first |x| - ceil(t |x|) + 1 tokens, so only those are joined,
 under the length filter and the positional filter. Candidates are verified by exact Jaccard and, behind that, by edit distance;
 the best entry of each value is kept. Values without an entry come out with `NO_ENTRY`.
@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lokalis.llm.edits import osa
+from lokalis.llm.edits import Lexicon, osa
 from lokalis.llm.lookalikes import bare, fold
 from lokalis.runtime import cut, ship, spread
 
@@ -46,16 +46,26 @@ def words_of(part: str) -> list[str]:
     return out
 
 
-def without_country(words: list[str], countries: list[list[str]]) -> tuple[list[str], str]:
-    """`words` without a country's name (at most one typo in each word) at their end, and the country."""
-    for c in countries:
-        n = len(c)
-        if len(words) > n and all(osa(x, y, 2) <= (2 if len(y) > 6 else 1) for x, y in zip(words[-n:], c)):
-            return words[:-n], " ".join(c)
-    return words, ""
+class Countries:
+    """Names of countries, found by their last word with up to two typos."""
 
+    def __init__(self, names: list[str]):
+        self.by_last: dict[str, list[list[str]]] = {}
+        for n in sorted({n for n in names if n}):
+            self.by_last.setdefault(n.split()[-1], []).append(n.split())
+        self.last = Lexicon(self.by_last, 2)
 
-def readings(line: str, countries: list[list[str]]) -> tuple[list[str], list[str]]:
+    def without(self, words: list[str]) -> tuple[list[str], str]:
+        """`words` without a country's name (few typos in each word) at their end, and the country."""
+        for last in self.last.near(words[-1]) if len(words) > 1 else ():
+            for c in self.by_last[last]:
+                n = len(c)
+                if len(words) > n and all(osa(x, y, 2) <= (2 if len(y) > 6 else 1) for x, y in zip(words[-n:], c)):
+                    return words[:-n], " ".join(c)
+        return words, ""
+
+
+def readings(line: str, countries: Countries) -> tuple[list[str], list[str]]:
     """Word strings that may be the name, and the parts as written (for country names)."""
     said: list[str] = []
     line = fold(line).replace("o/sea", "on-sea")
@@ -67,7 +77,7 @@ def readings(line: str, countries: list[list[str]]) -> tuple[list[str], list[str
         if two and len(w) > 1:
             clean.append([two[1], *w[1:]])
             w = [two[0], *w[1:]]
-        w, country = without_country(w, countries)
+        w, country = countries.without(w)
         if country:
             said.append(country)
         core = [x for x in w if x not in AROUND] or w
@@ -139,14 +149,14 @@ def map_lines(refs: DataFrame, entries: DataFrame, line: str = "city", group: st
     spark = refs.sparkSession
     ship(spark)
     named = entries_of(entries)
-    # The letter pairs of the list: at most alphabet squared, whatever the number of rows.
-    rarity: dict[str, int] = {}
-    for r in named.select(F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - 1), lambda i: F.substring(F.col("text"), i, F.lit(2))))).alias("t")).where("t not like '% %'").groupBy("t").count().collect() if entries.limit(1).count() else []:
-        rarity[r["t"]] = r["count"]
+    # The letter pairs of the list, as `pairs_of` makes them: at most alphabet squared, whatever the number of rows.
+    framed = F.transform(F.split("text", " "), lambda w: F.concat(F.lit("<"), w, F.lit(">")))
+    tokens = F.array_distinct(F.flatten(F.transform(framed, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substring(w, i, F.lit(2))))))
+    rarity: dict[str, int] = {r["t"]: r["count"] for r in named.select(F.explode(tokens).alias("t")).groupBy("t").count().collect()}
     names = cut(_tokenised(named, rarity, "city_id long, country string, region string, text string"))
     lines = refs.select(F.col(line).cast("string").alias("line"), F.col(group).alias("grp")).where("line is not null and line <> ''").groupBy("line", "grp").agg(F.count("*").alias("n"))
 
-    countries = [bare(fold(r[0])).split() for r in entries.select("country").distinct().collect() if r[0] and r[0].strip()]  # no more than entries
+    countries = Countries([bare(fold(r[0])) for r in entries.select("country").distinct().collect()])  # of the list, no more than it has entries
 
     def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:

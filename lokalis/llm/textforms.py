@@ -7,7 +7,8 @@ cheapest, then the most frequent is the canonical one. Words that reach none are
 written in another script stays as it is.
 
 Defined results: NULL stays NULL and is no case; '' stays ''; a value in plain characters is its own canonical form. Repeated
-rows get one result each. The vocabulary is spread over tasks by the first letters, never gathered in one place.
+rows get one result each. The vocabulary is spread over tasks by first letters, length and last letter of the words, which their
+look-alikes share, and is never gathered in one place.
 """
 
 from __future__ import annotations
@@ -103,10 +104,14 @@ def by_table(word: str) -> tuple[str, int]:
     return out, n
 
 
+SECOND_SEEN = str.maketrans({c: t for c, t in SECOND.items() if kind(c) != "look"})
+ONE_LOOK = str.maketrans("lu", "iv")
+
+
 def look_key(word: str) -> str:
-    """First letters as they look: what the words that one trie must hold have in common."""
-    t = unicodedata.normalize("NFC", "".join(shown(c) for c in word))
-    return t[:PREFIX].lower().translate({ord("l"): "i", ord("u"): "v"})
+    """First letters, length and last letter as they look: what the words that one trie must hold have in common."""
+    t = unicodedata.normalize("NFC", "".join(shown(c) for c in word)).translate(SECOND_SEEN).lower()
+    return f"{t[:PREFIX]}{len(t)}{t[-1:]}".translate(ONE_LOOK)
 
 
 def cut_value(value: str) -> tuple[list[str], list[str], int]:
@@ -165,7 +170,7 @@ def _solved(odd: DataFrame, plain: DataFrame) -> DataFrame:
     vocabulary = (
         plain.select(F.explode(F.split("value", r"[^\p{L}]+")).alias("word")).where(F.length("word") > 1)
         .groupBy("word").agg(F.count("*").alias("n"))
-        .withColumn("key", F.translate(F.lower(F.substring("word", 1, PREFIX)), "lu", "iv"))
+        .withColumn("key", F.translate(F.concat(F.lower(F.substring("word", 1, PREFIX)), F.length(F.lower("word")), F.lower(F.substring("word", -1, 1))), "lu", "iv"))
     )
     vocabulary = vocabulary.join(words.select("key").distinct(), "key", "left_semi")
     bucket = F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket")

@@ -43,3 +43,10 @@ def test_automaton_prefers_cheap_then_frequent():
 def test_empty_table(spark):
     df = spark.createDataFrame([], "ref_id long, name string, city string")
     assert textforms.canonical_values(df, "ref_id", ("name", "city")).count() == 0
+
+
+def test_letters_with_a_second_reading_meet_their_vocabulary():
+    for odd, plain in (("кіng", "king"), ("тaproom", "taproom"), ("кing", "king"), ("Іnn", "inn"), ("mаηоr", "manor"), ("пеw", "new")):
+        assert textforms.look_key(odd) == textforms.look_key(plain), (odd, plain)
+        assert textforms.walk(textforms.build_trie({plain: 3, "other": 9}), odd.lower() if odd[0] != "І" else "іnn", 1.0)[0] == plain
+    assert textforms.look_key("Beerhouse") != textforms.look_key("Beergarden")
