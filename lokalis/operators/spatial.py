@@ -1,14 +1,18 @@
 """Points near points or inside regions: Z-order cell codes, discs and boxes covered by code ranges, a range join on
 sorted codes, exact refinement.
 
-The plan has no grid that a dense town could overload. Codes are cut at quantiles of the data (at most `MAX_CUTS` numbers,
-whatever the input), so a stretch of the curve holds about the same number of points everywhere. Every point goes to one
-stretch and every range to the stretches that it touches (nearly always one or two). Inside a stretch both sides are sorted
-by code and joined by binary search; candidates are refined with the exact distance. A stretch that one code overfills
-(many rows at one place) is salted: ranges are spread over the salts and the points repeated in each.
+A disc or box is covered by at most 3 x 3 cells of the level that fits it; each cell is one range of codes. Points meet the ranges
+of a level in the cell of that level they lie in. Cells go to buckets by hash, so a bucket holds about the same number of rows
+however dense a town is; inside a bucket both sides are sorted by code and joined by binary search, and candidates are refined
+with the exact distance. Nothing about cells is held by the driver but the levels in use. A cell with more than twice
+`BUCKET_ROWS` points has its points split over salts, each point in one of them, and its ranges repeated in each; what is in one
+cell of a disc's level is nearly all within its reach, so the repeated ranges are few beside the pairs that come out.
+
+A pair is looked for from the point of the smaller code only. Rows of one group at one place are one point until the pairs are
+found, as they make none among themselves.
 
 Rows without a usable point (NULL, NaN, (0, 0), |lat| > 90, |lng| > 180) take no part. Extra columns are ignored; ids may be
-repeated and are then treated as separate rows.
+repeated and are then treated as separate rows, which make no pair with each other.
 """
 
 from __future__ import annotations
@@ -20,14 +24,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from lokalis.runtime import ship, spread
+from lokalis.runtime import cut, parallelism, sent, ship
 
 EARTH_M = 6_371_008.8
 BITS = 26  # cells of about 0.8 m; a code has 52 bits
-MAX_CUTS = 8192
-STRETCH_ROWS = 40_000
+BUCKET_ROWS = 40_000
 
 
 def usable_point(lat, lng):
@@ -77,11 +79,11 @@ def cell_codes(lat: np.ndarray, lng: np.ndarray) -> np.ndarray:
     return interleave(*grid(lat, lng))
 
 
-def cover_boxes(south, north, west, east) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Code ranges [lo, hi) that cover boxes: for each, the largest level at which it spans at most 3 x 3 cells.
+def cover_cells(south, north, west, east) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cells that cover boxes: for each box those of the largest level at which it spans at most 3 x 3 of them.
 
-    West may exceed east (the box crosses the antimeridian). Returns (row number, lo, hi); touching cells of one box that
-    follow each other on the curve come as one range.
+    West may exceed east (the box crosses the antimeridian). Returns (row number, level, cell); a cell of level l holds the codes
+    from cell << 2l up to the next cell.
     """
     n = 1 << BITS
     x0, y0 = grid(south, west)
@@ -91,21 +93,28 @@ def cover_boxes(south, north, west, east) -> tuple[np.ndarray, np.ndarray, np.nd
     wide = (x1 - x0) % n
     span = np.maximum(np.maximum(wide, y1 - y0), 1)
     level = np.clip(np.ceil(np.log2(span / 2.0)).astype(np.int64), 0, BITS)  # side of 2**level finest cells
-    rows, los, his = [], [], []
-    cells = n >> level  # cells of a side of the world at that level
+    rows, cells = [], []
+    side = n >> level  # cells of a side of the world at that level
     cx0, cy0, cy1 = x0 >> level, y0 >> level, y1 >> level
-    nx = np.minimum(((x0 & ((1 << level) - 1)) + wide >> level) + 1, cells)
+    nx = np.minimum(((x0 & ((1 << level) - 1)) + wide >> level) + 1, side)
     ny = cy1 - cy0 + 1
     for dx in range(int(nx.max(initial=0))):
         for dy in range(int(ny.max(initial=0))):
             use = np.nonzero((dx < nx) & (dy < ny))[0]
             if len(use):
-                cx, cy = (cx0[use] + dx) % cells[use], cy0[use] + dy
-                lo = interleave(cx, cy) << (2 * level[use])
-                rows.append(use), los.append(lo), his.append(lo + (np.int64(1) << (2 * level[use])))
+                rows.append(use), cells.append(interleave((cx0[use] + dx) % side[use], cy0[use] + dy))
     if not rows:
         return (np.empty(0, np.int64),) * 3
-    row, lo, hi = np.concatenate(rows), np.concatenate(los), np.concatenate(his)
+    row, cell = np.concatenate(rows), np.concatenate(cells)
+    return row, level[row], cell
+
+
+def cover_boxes(south, north, west, east) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code ranges [lo, hi) that cover boxes (row number, lo, hi); cells of a box that follow each other come as one range."""
+    row, level, cell = cover_cells(south, north, west, east)
+    if not len(row):
+        return (np.empty(0, np.int64),) * 3
+    lo, hi = cell << (2 * level), (cell + 1) << (2 * level)
     order = np.lexsort((lo, row))
     row, lo, hi = row[order], lo[order], hi[order]
     first = np.ones(len(row), bool)
@@ -126,57 +135,46 @@ def disc_boxes(lat, lng, radius_m):
     return np.maximum(south, -90), np.minimum(north, 90), west, np.where(polar, 180.0 + 1e-9, east)
 
 
-def cuts_of(points: DataFrame, n_rows: int, rows_each: int = STRETCH_ROWS) -> np.ndarray:
-    """At most `MAX_CUTS` quantiles of the codes, ascending and distinct."""
-    k = int(min(MAX_CUTS, n_rows // rows_each))
-    if k < 1:
-        return np.empty(0, np.int64)
-    at = [i / (k + 1) for i in range(1, k + 1)]
-    got = points.select(F.percentile_approx("code", at, 100 * (k + 1)).alias("q")).first()["q"] or []
-    return np.unique(np.array(got, np.int64))
-
-
-CODED = T.StructType([T.StructField("id", T.LongType()), T.StructField("grp", T.StringType()), T.StructField("lat", T.DoubleType()), T.StructField("lng", T.DoubleType()), T.StructField("code", T.LongType())])
-SIDED = "stretch long, salt int, side int, id long, grp string, lat double, lng double, lo long, hi long, reach double"
+PLACE = "id long, grp string, south double, west double, north double, east double"  # a point has its place in south and west
+CODED = PLACE + ", code long, level int"
+MET = "side int, level int, cell long, code long, " + PLACE
 
 
-def coded(points: DataFrame, id_col: str, lat: str, lng: str, group: str | None = None) -> DataFrame:
-    """(id, grp, lat, lng, code) of the usable points."""
-    ship(points.sparkSession)
-    src = points.where(usable_point(F.col(lat), F.col(lng))).select(
+def _usable(points: DataFrame, id_col: str, lat: str, lng: str, group: str | None = None) -> DataFrame:
+    """(id, grp, lat, lng) of the usable points."""
+    return points.where(usable_point(F.col(lat), F.col(lng))).select(
         F.col(id_col).cast("long").alias("id"), (F.col(group).cast("string") if group else F.lit(None).cast("string")).alias("grp"),
         F.col(lat).cast("double").alias("lat"), F.col(lng).cast("double").alias("lng"),
     )
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            yield p.assign(code=cell_codes(p.lat.to_numpy(), p.lng.to_numpy()))
-
-    return src.mapInPandas(run, CODED)
 
+def _coded(points: DataFrame, radius_m: float | None = None) -> DataFrame:
+    """Points with their codes and, with a radius, the level that their disc is covered at."""
 
-def _salts(codes: DataFrame, cuts: np.ndarray, rows_each: int) -> dict[int, int]:
-    """Salts of the overfull stretches (at most one entry for each stretch)."""
-    got = codes.select(_stretch(F.col("code"), cuts).alias("s")).groupBy("s").count().where(F.col("count") > 2 * rows_each).collect()
-    return {int(r["s"]): int(-(-r["count"] // rows_each)) for r in got}
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            level = np.full(len(p), -1)
+            if radius_m is not None:
+                row, lv, _ = cover_cells(*disc_boxes(p.south, p.west, np.full(len(p), float(radius_m))))
+                level[row] = lv
+            yield p.assign(code=cell_codes(p.south.to_numpy(), p.west.to_numpy()), level=level)
 
+    none = F.lit(None).cast("double")
+    return points.select("id", "grp", F.col("lat").alias("south"), F.col("lng").alias("west"), none.alias("north"), none.alias("east")).mapInPandas(run, CODED)
 
-def _stretch(code, cuts: np.ndarray):
-    @F.pandas_udf("long")
-    def at(v: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, v.to_numpy(), side="right"))
 
-    return at(code)
+def _side(p: pd.DataFrame, side: int, row: np.ndarray, level: np.ndarray, cell: np.ndarray, code: np.ndarray) -> pd.DataFrame:
+    out = p[["id", "grp", "south", "west", "north", "east"]].iloc[row].reset_index(drop=True)
+    for n, (name, v) in enumerate((("side", side), ("level", level), ("cell", cell), ("code", code))):
+        out.insert(n, name, v)
+    return out
 
 
-def _join_stretch(p: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, pd.DataFrame, pd.DataFrame]:
-    """Row numbers of (point, range) candidates of one stretch: binary search on the sorted codes."""
-    pts = p[p.side == 0].sort_values("lo", kind="stable")
-    rng = p[p.side == 1]
-    codes = pts.lo.to_numpy()
-    a = np.searchsorted(codes, rng.lo.to_numpy(), "left")
-    b = np.searchsorted(codes, rng.hi.to_numpy(), "left")
-    return a, b, pts, rng
+def _points_at(p: pd.DataFrame, levels: list[int]) -> Iterator[pd.DataFrame]:
+    """The points in their cells of the levels in use."""
+    code, row = p.code.to_numpy(), np.arange(len(p))
+    for lv in levels:
+        yield _side(p, 0, row, np.full(len(p), lv), code >> (2 * lv), code)
 
 
 def _chunks(a: np.ndarray, b: np.ndarray, most: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -201,107 +199,126 @@ def _chunks(a: np.ndarray, b: np.ndarray, most: int = 2_000_000) -> Iterator[tup
         done, start = int(ends[stop - 1]), stop
 
 
-def _by_stretch(points: DataFrame, ranges: DataFrame, cuts: np.ndarray, salts: dict[int, int], make_ranges) -> DataFrame:
-    """Both sides with the stretch (and salt) that they meet in."""
+def _meet(both: DataFrame, counts: DataFrame, n_rows: int, rows_each: int, match, schema: str) -> DataFrame:
+    """Rows of `MET` in buckets of cells; `counts`: (level, cell, n) of the cells with more than twice `rows_each` points."""
+    few = counts.select("level", "cell", F.ceil(F.col("n") / rows_each).cast("int").alias("salts"))
+    placed = both.join(sent(few), ["level", "cell"], "left").na.fill(1, ["salts"])
+    every = F.transform(F.sequence(F.lit(0), F.col("salts") - 1), lambda k: k.cast("int"))
+    placed = placed.withColumn("salt", F.explode(F.when(F.col("side") == 0, F.array(F.pmod(F.xxhash64("id", "code"), F.col("salts")).cast("int"))).otherwise(every)))
+    buckets = max(parallelism(both.sparkSession), n_rows // rows_each + 1)
+    placed = placed.withColumn("bucket", F.pmod(F.xxhash64("level", "cell", "salt"), F.lit(buckets))).drop("cell", "salts")
+    names = [c.split()[0] for c in schema.split(", ")]
 
-    def place(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            p = p.reset_index(drop=True)
-            s = np.searchsorted(cuts, p.code.to_numpy(), side="right")
-            out = pd.DataFrame({"stretch": s, "salt": 0, "side": 0, "id": p.id, "grp": p.grp, "lat": p.lat, "lng": p.lng, "lo": p.code, "hi": p.code + 1, "reach": 0.0})
-            many = np.array([salts.get(int(v), 1) for v in s]) if salts else np.ones(len(s), int)
-            if salts and len(many) and many.max() > 1:
-                out = out.loc[np.repeat(out.index.to_numpy(), many)].reset_index(drop=True)
-                out["salt"] = np.concatenate([np.arange(m) for m in many])
-            yield out
-
-    def spread(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            p = p.reset_index(drop=True)
-            row, lo, hi, reach = make_ranges(p)
-            first = np.searchsorted(cuts, lo, side="right")
-            last = np.searchsorted(cuts, hi - 1, side="right")
-            k = last - first + 1
-            at = np.repeat(np.arange(len(row)), k)
-            s = np.repeat(first, k) + (np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k))
-            src = p.iloc[row[at]].reset_index(drop=True)
-            out = pd.DataFrame({"stretch": s, "salt": 0, "side": 1, "id": src.id, "grp": src.grp, "lat": src.lat, "lng": src.lng, "lo": lo[at], "hi": hi[at], "reach": reach[row[at]]})
-            if salts:
-                out["salt"] = (np.abs(out.id.to_numpy()) % np.array([salts.get(int(v), 1) for v in s])).astype(int) if len(s) else 0
-            yield out
-
-    return points.mapInPandas(place, SIDED).unionByName(ranges.mapInPandas(spread, SIDED))
-
-
-def pairs_within(points: DataFrame, radius_m: float, id_col: str = "id", lat: str = "lat", lng: str = "lng", group: str | None = None, rows_each: int = STRETCH_ROWS) -> DataFrame:
+    def run(key: tuple[Any, ...], parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        p = pd.concat(list(parts))
+        for (level, _), g in p.groupby(["level", "salt"]):
+            pts, rng = g[g.side == 0].sort_values("code", kind="stable"), g[g.side == 1]
+            if not len(pts) or not len(rng):
+                continue
+            width = np.int64(1) << (2 * int(level))
+            lo, at = rng.code.to_numpy(), pts.code.to_numpy()
+            a, b = np.searchsorted(at, lo, "left"), np.searchsorted(at, (lo // width + 1) * width, "left")
+            yield from (x[names] for x in match(a, b, pts, rng))
+
+    return placed.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(run, schema)
+
+
+def pairs_within(points: DataFrame, radius_m: float, id_col: str = "id", lat: str = "lat", lng: str = "lng", group: str | None = None, rows_each: int = BUCKET_ROWS) -> DataFrame:
     """All pairs (id_a < id_b, metres) of rows at most `radius_m` apart; with `group`, only rows of different groups.
 
-    A NULL group never equals another. Of the two orders of a pair only one is looked for: a disc's ranges are met by all
-    points, the smaller id keeps the pair.
+    A NULL group never equals another.
     """
-    pts = coded(points, id_col, lat, lng, group)
-    cuts = cuts_of(pts, pts.count(), rows_each)
-    salts = _salts(pts, cuts, rows_each)
-
-    def discs(p: pd.DataFrame):
-        r = np.full(len(p), float(radius_m))
-        return *cover_boxes(*disc_boxes(p.lat, p.lng, r)), r
-
-    def match(p: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        a, b, q, rng = _join_stretch(p)
-        qi, qa, qo, qg = q.id.to_numpy(), q.lat.to_numpy(), q.lng.to_numpy(), q.grp.to_numpy(object)
-        ri, ra, ro, rg = rng.id.to_numpy(), rng.lat.to_numpy(), rng.lng.to_numpy(), rng.grp.to_numpy(object)
+    spark = points.sparkSession
+    ship(spark)
+    src = _usable(points, id_col, lat, lng, group)
+    if group:
+        same = ["grp", "lat", "lng"]
+        alone = F.when(F.col("grp").isNull(), F.col("id")).alias("alone")
+        spots = src.groupBy(*same, alone).agg(F.min("id").alias("id"), F.count("*").alias("n"))
+        spots = cut(spots)
+        found = _pairs(spots.select("id", *same), radius_m, group, rows_each)
+        if not spots.where("n > 1").limit(1).count():
+            return found
+        # Only spots of several rows are expanded; the others stand for themselves.
+        shared = spots.where("n > 1 and alone is null").selectExpr("grp as g", "lat as la", "lng as lo", "id as spot")
+        of = src.join(shared, (F.col("grp") == F.col("g")) & (F.col("lat") == F.col("la")) & (F.col("lng") == F.col("lo"))).select("spot", F.col("id").alias("row"))
+        one, two = of.select(F.col("spot").alias("id_a"), F.col("row").alias("row_a")), of.select(F.col("spot").alias("id_b"), F.col("row").alias("row_b"))
+        out = found.join(one, "id_a", "left").join(two, "id_b", "left").select(F.coalesce("row_a", "id_a").alias("a"), F.coalesce("row_b", "id_b").alias("b"), "metres")
+        return out.where("a <> b").select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"), "metres")
+    return _pairs(src, radius_m, group, rows_each)
+
+
+def _pairs(src: DataFrame, radius_m: float, group: str | None, rows_each: int) -> DataFrame:
+    pts = cut(_coded(src, radius_m))
+    levels = sorted(r["level"] for r in pts.select("level").distinct().collect())  # at most BITS + 1
+    n = pts.count()
+    at = pts.select("code", F.explode(F.array(*(F.lit(v).cast("int") for v in levels)) if levels else F.array().cast("array<int>")).alias("level"))
+    counts = at.groupBy("level", F.expr("shiftright(code, 2 * level)").alias("cell")).agg(F.count("*").alias("n")).where(F.col("n") > 2 * rows_each)
+
+    def both(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            p = p.reset_index(drop=True)
+            yield from _points_at(p, levels)
+            row, level, cell = cover_cells(*disc_boxes(p.south, p.west, np.full(len(p), float(radius_m))))
+            own = p.code.to_numpy()[row]
+            use = (cell + 1) << (2 * level) > own  # codes below its own are another point's to find
+            row, level, cell, own = row[use], level[use], cell[use], own[use]
+            yield _side(p, 1, row, level, cell, np.maximum(cell << (2 * level), own))
+
+    def match(a: np.ndarray, b: np.ndarray, q: pd.DataFrame, rng: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        qi, qa, qo, qc = q.id.to_numpy(), q.south.to_numpy(), q.west.to_numpy(), q.code.to_numpy()
+        ri, ra, ro = rng.id.to_numpy(), rng.south.to_numpy(), rng.west.to_numpy()
+        rc = cell_codes(ra, ro)
+        known = pd.factorize(pd.concat([q.grp, rng.grp]))[0]  # -1: no group
+        qg, rg = known[: len(q)], known[len(q) :]
         for r, k in _chunks(a, b):
-            keep = ri[r] < qi[k]
-            r, k = r[keep], k[keep]
+            keep = (qc[k] > rc[r]) | (qi[k] > ri[r])  # of two points of one code the smaller id looks
+            keep &= qi[k] != ri[r]
             if group:
-                same = np.array([x is not None and x == y for x, y in zip(rg[r], qg[k])], bool)
-                r, k = r[~same], k[~same]
+                keep &= (rg[r] < 0) | (rg[r] != qg[k])
+            r, k = r[keep], k[keep]
             m = great_circle_np(ra[r], ro[r], qa[k], qo[k])
             near = m <= radius_m
-            yield pd.DataFrame({"id_a": ri[r][near], "id_b": qi[k][near], "metres": m[near]})
+            one, two = ri[r][near], qi[k][near]
+            yield pd.DataFrame({"id_a": np.minimum(one, two), "id_b": np.maximum(one, two), "metres": m[near]})
 
-    return _matched(_by_stretch(pts, pts, cuts, salts, discs), match, "id_a long, id_b long, metres double")
+    return _meet(pts.mapInPandas(both, MET), counts, n * max(1, len(levels)), rows_each, match, "id_a long, id_b long, metres double")
 
 
-def _matched(both: DataFrame, match, schema: str) -> DataFrame:
-    names = [c.split()[0] for c in schema.split(", ")]
-
-    def run(key: tuple[Any, ...], parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        got = list(parts)
-        yield from (x[names] for x in match(pd.concat(got)))
-
-    return spread(both, "stretch", "salt").groupBy("stretch", "salt").applyInPandas(run, schema)
-
-
-def points_in_boxes(points: DataFrame, boxes: DataFrame, id_col: str = "id", lat: str = "lat", lng: str = "lng", box_id: str = "box_id", rows_each: int = STRETCH_ROWS) -> DataFrame:
+def points_in_boxes(points: DataFrame, boxes: DataFrame, id_col: str = "id", lat: str = "lat", lng: str = "lng", box_id: str = "box_id", rows_each: int = BUCKET_ROWS) -> DataFrame:
     """(id, box_id) for each point inside a box south <= lat <= north, west <= lng <= east (borders count).
 
     `boxes` has box_id, south, north, west, east; west > east crosses the antimeridian; a box with a NULL bound or
     south > north holds nothing.
     """
-    pts = coded(points, id_col, lat, lng)
-    cuts = cuts_of(pts, pts.count(), rows_each)
-    salts = _salts(pts, cuts, rows_each)
+    ship(points.sparkSession)
+    pts = cut(_coded(_usable(points, id_col, lat, lng)))
     src = boxes.where(F.col("south") <= F.col("north")).where(F.col("west").isNotNull() & F.col("east").isNotNull()).select(
-        F.col(box_id).cast("long").alias("id"), F.concat_ws(",", *(F.col(c).cast("string") for c in ("south", "north", "west", "east"))).alias("grp"),
-        F.col("south").cast("double").alias("lat"), F.col("west").cast("double").alias("lng"), F.lit(0).cast("long").alias("code"),
+        F.col(box_id).cast("long").alias("id"), F.lit(None).cast("string").alias("grp"), *(F.col(c).cast("double").alias(c) for c in ("south", "west", "north", "east")),
     )
 
-    def bounds(g: pd.Series) -> np.ndarray:
-        return np.array([[float(v) for v in x.split(",")] for x in g], float).reshape(-1, 4)
+    def covers(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            p = p.reset_index(drop=True)
+            row, level, cell = cover_cells(p.south, p.north, p.west, p.east)
+            yield _side(p, 1, row, level, cell, cell << (2 * level))
 
-    def ranges(p: pd.DataFrame):
-        b = bounds(p.grp)
-        return *cover_boxes(b[:, 0], b[:, 1], b[:, 2], b[:, 3]), np.zeros(len(p))
+    ranges = cut(src.mapInPandas(covers, MET))
+    levels = sorted(r["level"] for r in ranges.select("level").distinct().collect())  # at most BITS + 1
+    n = pts.count()
+    at = pts.select("code", F.explode(F.array(*(F.lit(v).cast("int") for v in levels)) if levels else F.array().cast("array<int>")).alias("level"))
+    counts = at.groupBy("level", F.expr("shiftright(code, 2 * level)").alias("cell")).agg(F.count("*").alias("n")).where(F.col("n") > 2 * rows_each)
+
+    def placed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            yield from _points_at(p.reset_index(drop=True), levels)
 
-    def match(p: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        a, b, q, rng = _join_stretch(p)
-        qi, qa, qo, ri, box = q.id.to_numpy(), q.lat.to_numpy(), q.lng.to_numpy(), rng.id.to_numpy(), bounds(rng.grp)
+    def match(a: np.ndarray, b: np.ndarray, q: pd.DataFrame, rng: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        qi, qa, qo, ri = q.id.to_numpy(), q.south.to_numpy(), q.west.to_numpy(), rng.id.to_numpy()
+        s, w, n_, e = (rng[c].to_numpy() for c in ("south", "west", "north", "east"))
         for r, k in _chunks(a, b):
-            s, n, w, e = box[r].T
             x = qo[k]
-            inside = (qa[k] >= s) & (qa[k] <= n) & np.where(w <= e, (x >= w) & (x <= e), (x >= w) | (x <= e))
+            inside = (qa[k] >= s[r]) & (qa[k] <= n_[r]) & np.where(w[r] <= e[r], (x >= w[r]) & (x <= e[r]), (x >= w[r]) | (x <= e[r]))
             yield pd.DataFrame({"id": qi[k][inside], "box_id": ri[r][inside]})
 
-    return _matched(_by_stretch(pts, src, cuts, salts, ranges), match, "id long, box_id long")
+    return _meet(pts.mapInPandas(placed, MET).unionByName(ranges), counts, n * max(1, len(levels)), rows_each, match, "id long, box_id long")
