@@ -53,7 +53,7 @@ def stratified_sample(df: DataFrame, stratum: str, key: str, quota: int, seed: i
     The choice is made before the shuffle too: each task keeps its own best rows, so a stratum with most of the rows does not
     gather in one task.
     """
-    rank = F.xxhash64(F.lit(seed), F.col(key))
+    rank = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))
     sizes = df.groupBy(stratum).agg(F.count("*").alias("_stratum_size"))
     best = top_rows(df.withColumn("_rank", rank), [stratum], [F.col("_rank"), F.col(key)], quota)
     return best.join(sizes, stratum).drop("_rank", "_pos")

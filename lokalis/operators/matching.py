@@ -14,6 +14,7 @@ from lokalis.functions.text import calibration_keys, join_name, name_forms
 from lokalis.runtime import ship
 
 NAME_MIN, MATCH_M, TRIES = 0.85, 1000.0, 2
+SHIFT_BAND = 0.12  # degrees; more than the farthest neighbour
 SHIFT_NEED, SHIFT_AGREE_M, SHIFT_NEAR_M, SHIFT_MAX_M = 2, 100.0, 10_000.0, 5_000.0
 
 
@@ -144,14 +145,20 @@ def shared_shifts(points: DataFrame, by: list[str] | None = None, key: str = "ke
     off = planar_offset(F.col("pin_lat"), F.col("pin_lng"), F.col("page_lat"), F.col("page_lng"))
     known = points.where(F.col("status").isin("resolved", "too_far") & F.col("pin_lat").isNotNull() & F.col("page_lat").isNotNull()).withColumn("o", off)
     base = known.select(*by, key, "status", "pin_lat", "pin_lng", F.col("o.east").alias("e"), F.col("o.north").alias("n"))
-    # Pins: squares of a fixed angle that is never shorter than the distance at the row's own latitude band.
-    band = F.floor(F.col("pin_lat") / 0.1)
+    # Pins: bands of latitude no narrower than the distance, cut into stretches of longitude that are no shorter at the band's
+    # farther edge from the equator, the neighbouring bands included; a band knows its own stretches only.
+    band = F.floor(F.col("pin_lat") / SHIFT_BAND)
     base = base.withColumn("oe", F.floor(F.col("e") / SHIFT_AGREE_M)).withColumn("on", F.floor(F.col("n") / SHIFT_AGREE_M)).withColumn("py", band)
     near = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1))
+    edge = F.radians(F.least(F.lit(89.0), F.greatest(F.abs(F.col("py") * SHIFT_BAND), F.abs((F.col("py") + 1) * SHIFT_BAND))))
+    width = F.lit(SHIFT_BAND) / F.greatest(F.cos(edge), F.lit(0.017))
+    count = F.ceil(360 / width)
+    column = F.floor((F.col("pin_lng") + 180) / width)
     miss = base.where((F.col("status") == "too_far") & (F.hypot("e", "n") <= SHIFT_MAX_M))
-    a = miss.withColumn("oe", near("oe")).withColumn("on", near("on")).withColumn("py", near("py")).alias("a")
-    b = base.alias("b")
-    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("oe", "on", "py", *by)]
+    a = miss.withColumn("oe", near("oe")).withColumn("on", near("on")).withColumn("py", near("py"))
+    a = a.withColumn("px", F.explode(F.array_distinct(F.transform(F.sequence(column - 1, column + 1), lambda k: F.pmod(k, count))))).alias("a")
+    b = base.withColumn("px", F.pmod(column, count)).alias("b")
+    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("oe", "on", "py", "px", *by)]
     cond = on[0]
     for c in on[1:]:
         cond = cond & c
@@ -181,3 +188,54 @@ def filled_in(rows: DataFrame, cache: DataFrame, key: str) -> DataFrame:
     j = rows.join(c, key, "left")
     use = (F.col("lat").isNull() | F.col("lng").isNull()) & F.col("_lat").isNotNull() & F.col("_lng").isNotNull()
     return j.withColumn("geo_source", F.when(use, F.lit("cache")).otherwise(F.col("geo_source"))).withColumn("_use", use).withColumn("lat", F.when(F.col("_use"), F.col("_lat")).otherwise(F.col("lat"))).withColumn("lng", F.when(F.col("_use"), F.col("_lng")).otherwise(F.col("lng"))).drop("_lat", "_lng", "_use")
+
+
+def second_search(candidates: DataFrame, more: DataFrame, by: list[str]) -> DataFrame:
+    """Candidates (by, name_id, ref_id, score, place_rank), those of names without one in their city (`place_rank` 2) joined by the unseen ones of `more`, ranked anew."""
+    base = candidates.drop("rank")
+    there = base.where("place_rank = 2").select(*by, "name_id").distinct()
+    unseen = more.drop("rank").join(there, [*by, "name_id"], "left_anti").join(base.select(*by, "name_id", "ref_id"), [*by, "name_id", "ref_id"], "left_anti")
+    w = Window.partitionBy(*by, "name_id").orderBy(F.desc("place_rank"), F.desc("score"), "ref_id")
+    return base.unionByName(unseen.select(*base.columns)).withColumn("rank", F.row_number().over(w))
+
+
+def by_known_id(rows: DataFrame, pages: DataFrame, key: str, page_id: str, south: float, north: float, west: float, east: float) -> DataFrame:
+    """(key, status) of rows that name their page: `resolved`, `outside` of the bounds, or `fetch_failed`; a page without a point is resolved."""
+    p = pages.select(page_id, F.col("lat").alias("_lat"), F.col("lng").alias("_lng"), F.lit(True).alias("_there"))
+    inside = F.col("_lat").between(south, north) & F.col("_lng").between(west, east)
+    status = F.when(F.col("_there").isNull(), "fetch_failed").when(F.coalesce(inside, F.lit(True)), "resolved").otherwise("outside")
+    return rows.join(p, page_id, "left").select(key, status.alias("status"))
+
+
+def with_closures(rows: DataFrame, answers: DataFrame, key: str, status: str = "business_status", unmatched: str = "unmatched") -> DataFrame:
+    """Rows with the status of their answer: an answer without a place or a status says `unmatched`, an error or no answer leaves the row as it was.
+
+    answers: key, place_id, business_status, error; of several the first by id counts.
+    """
+    a = answers.groupBy(key).agg(F.min_by(F.struct("place_id", F.col("business_status").alias("_s"), "error"), F.coalesce("place_id", F.lit(""))).alias("_a"))
+    said = F.when(F.col("_a.error").isNull(), F.when(F.coalesce(F.col("_a.place_id"), F.lit("")) == "", unmatched).otherwise(F.coalesce(F.nullif(F.col("_a._s"), F.lit("")), F.lit(unmatched))))
+    return rows.join(a, key, "left").withColumn(status, F.coalesce(F.when(F.col("_a").isNotNull(), said), F.col(status))).drop("_a")
+
+
+def legacy_lookup(rows: DataFrame, journal: DataFrame, key: str, old_key: str, status: str = "status") -> DataFrame:
+    """Rows with the status that a journal has under their key, or under the key of an older form."""
+    entry = lambda as_, to: journal.groupBy("key").agg(F.min(status).alias(to)).withColumnRenamed("key", as_)
+    return rows.join(entry(key, "_new"), key, "left").join(entry(old_key, "_old"), old_key, "left").withColumn(status, F.coalesce("_new", "_old")).drop("_new", "_old")
+
+
+def enriched(names: DataFrame, refs: DataFrame, pages: DataFrame, by: list[str], city: str | None = None) -> DataFrame:
+    """The outcome of every swept name: (by, name_id, status, page_id, metres, support, duplicate).
+
+    names: by, name_id, name, lat, lng; refs: by, ref_id, name, city, address, page_id; pages: page_id, lat, lng, one row each.
+    Candidates are ranked by place and name, verified by distance, near misses that enough neighbours share are accepted, and a
+    page that an earlier name of the group has makes the later one a duplicate. Names without a result keep their row.
+    """
+    c = ranked_candidates(names.where("name is not null"), refs, by, city)
+    page_of = refs.select("ref_id", "page_id")
+    best = c.join(page_of, "ref_id").where("page_id is not null").groupBy(*by, "name_id", "page_id").agg(F.min("rank").alias("rank"))
+    best = best.withColumn("rank", F.row_number().over(Window.partitionBy("name_id").orderBy("rank", "page_id")))
+    out = resolve_by_distance(names, best, pages).join(names.select(*by, "name_id", F.col("lat").alias("pin_lat"), F.col("lng").alias("pin_lng")), "name_id")
+    out = out.join(pages.select("page_id", F.col("lat").alias("page_lat"), F.col("lng").alias("page_lng")), "page_id", "left")
+    out = out.join(shared_shifts(out, by, "name_id"), [*by, "name_id"], "left")
+    out = out.withColumn("status", F.when(F.col("support").isNotNull(), "resolved").otherwise(F.col("status"))).withColumn("_page", F.when(F.col("status") == "resolved", F.concat_ws("/", *by, "page_id")))
+    return later_duplicates(out, "_page", F.col("status") == "resolved", ["name_id"]).select(*by, "name_id", "status", "page_id", "metres", "support", "duplicate")

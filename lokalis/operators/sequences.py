@@ -80,7 +80,8 @@ def running_ratio(df: DataFrame, measured: str, asked: str, order: str, by: list
     m, a = F.when(use, F.abs(measured).cast("double")).otherwise(0.0), F.when(use, F.abs(asked).cast("double")).otherwise(0.0)
     run = running(df, by or [], [order], sums={"_m": m, "_a": a}, slice_rows=slice_rows)
     ratio = F.try_divide(F.col("_m") - m, F.col("_a") - a)
-    return run.withColumn(name, F.coalesce(F.greatest(F.lit(low), F.least(F.lit(high), ratio)), F.lit(1.0))).drop("_m", "_a")
+    # greatest and least pass over NULL, so what has no ratio is told apart first.
+    return run.withColumn("_q", ratio).withColumn(name, F.when(F.col("_q").isNull(), 1.0).otherwise(F.greatest(F.lit(low), F.least(F.lit(high), F.col("_q"))))).drop("_m", "_a", "_q")
 
 
 def streaks(df: DataFrame, bad: Column, order: list[str], by: list[str] | None = None, name: str = "streak", slice_rows: int = SLICE_ROWS) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lokalis.plans import spatial_queries, venue_queries
+from lokalis.plans import spatial_queries, stage_queries, venue_queries
 
-MODULES = [spatial_queries, venue_queries]
+MODULES = [spatial_queries, venue_queries, stage_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -246,7 +246,8 @@ def a_weighted_rate(spark: SparkSession, d: str) -> DataFrame:
     return aggregates.weighted_rate(sized, "status", "size", c("lat").isNotNull(), F.coalesce("detail", F.lit("")) == "").withColumn("rate", F.round("rate", 6))
 
 
-@query()
+@query("""with r as (select status, res_id, count(*) over (partition by status) as n, row_number() over (partition by status order by md5('0|' || cast(res_id as varchar)), res_id) as k from resolutions)
+    select status, res_id, n as _stratum_size from r where k <= 18""")
 def a_stratified_sample(spark: SparkSession, d: str) -> DataFrame:
     return aggregates.stratified_sample(table(spark, d, "resolutions"), "status", "res_id", 18).select("status", "res_id", "_stratum_size")
 
@@ -287,7 +288,7 @@ def w_rolling_count(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""with e as (select *, floor(value) - 50 as asked, case when event_type <> 'error' then floor(value * 1.1) - 50 end as measured from events),
     u as (select *, case when measured is not null and abs(asked) >= 20 then abs(measured) end as m, case when measured is not null and abs(asked) >= 20 then abs(asked) end as a from e)
-    select event_id, round(coalesce(greatest(0.8, least(1.4, sum(m) over w / nullif(sum(a) over w, 0))), 1.0), 6) as ratio from u window w as (partition by user_id order by event_id rows between unbounded preceding and 1 preceding)""")
+    select event_id, round(case when coalesce(sum(a) over w, 0) = 0 then 1.0 else greatest(0.8, least(1.4, sum(m) over w / sum(a) over w)) end, 6) as ratio from u window w as (partition by user_id order by event_id rows between unbounded preceding and 1 preceding)""")
 def w_running_ratio(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").withColumn("asked", F.floor("value") - 50).withColumn("measured", F.when(c("event_type") != "error", F.floor(c("value") * 1.1) - 50))
     return sequences.running_ratio(e, "measured", "asked", "event_id", ["user_id"], least=20).select("event_id", F.round("ratio", 6).alias("ratio"))

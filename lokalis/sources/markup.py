@@ -147,6 +147,8 @@ def page_stats(pages: DataFrame, key: str = "page_id", html: str = "html") -> Da
                         seen = True
                         got[m[1].lower()] = LABEL.sub(" ", t)
                 error = None
+                if len(items) < 2:
+                    seen, got = False, dict.fromkeys(got)  # one item is no stats block
                 if not seen:
                     error = "login required" if re.search(r"log ?in to view", text or "", re.I) else "no stats block" if len(items) < 2 else "no known label"
                 rows.append((k, *got.values(), error, text))
