@@ -242,10 +242,13 @@ def abnormal_words(speech: int, c: np.ndarray, state: np.ndarray, tables: list[n
     s = tables[speech][grams]
     t = Stretches(c, state, s)
     (m1, d1), (m2, d2) = usual[speech]
-    # A stretch may be in another language than most of its text: the language that fits it best counts.
-    size = np.maximum(np.diff(t.edge), 1)
-    high = np.minimum.reduce([(np.add.reduceat(table[grams], t.edge[:-1]) / size - m) / d for table, ((m, d), _) in zip(tables, usual)])
-    odd = (np.maximum(high, 0) + np.maximum(m2 - np.nan_to_num(t.bits[1], nan=m2), 0) / d2 > FAR) & ~t.record
+    low = np.maximum(m2 - np.nan_to_num(t.bits[1], nan=m2), 0) / d2
+    odd = (np.maximum((t.bits[0] - m1) / d1, 0) + low > FAR) & ~t.record
+    if odd.any():
+        # A stretch may be in another language than most of its text: the language that fits it best counts.
+        size = np.maximum(np.diff(t.edge), 1)
+        high = np.minimum.reduce([(np.add.reduceat(table[grams], t.edge[:-1]) / size - m) / d for table, ((m, d), _) in zip(tables, usual)])
+        odd &= np.maximum(high, 0) + low > FAR
     if odd.all() or not odd.any():
         return float(t.words.sum()), float(t.words[odd].sum())
     s = s / d1 + np.where(state > 0, m2 - WORD_BITS[state], 0) / d2
