@@ -17,7 +17,6 @@ and repeated elements all appear; an empty side gives an empty result; extra col
 
 from __future__ import annotations
 
-import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from typing import Any
@@ -102,47 +101,66 @@ def evidence(name: float, metres: float, coarse: bool, a, b, kind: str | None =
     return t
 
 
-class Squares:
-    """Records in squares of the map, each with its own index from keys to records."""
-
-    def __init__(self, size: float, lat: np.ndarray, lng: np.ndarray):
-        lng = np.where(lng < 0, lng + 360, lng) if len(lng) and lng.max() - lng.min() > 180 else lng
-        m = np.radians(1) * EARTH_M
-        low = np.cos(np.radians(min(89.99, float(np.abs(lat).max(initial=0)))))  # a square is nowhere narrower than `size`
-        self.y, self.x = np.floor(lat * m / size).astype(int).tolist(), np.floor(lng * m * low / size).astype(int).tolist()
-        self.words: dict[tuple[int, int], dict[str, list[int]]] = defaultdict(lambda: defaultdict(list))
-        self.whole: dict[tuple[int, int], dict[str, list[int]]] = defaultdict(lambda: defaultdict(list))
-
-    def add(self, j: int, words: list[str], whole: set[str]) -> None:
-        at = self.y[j], self.x[j]
-        w, o = self.words[at], self.whole[at]
-        for k in words:
-            w[k].append(j)
-        for k in whole:
-            o[k].append(j)
-
-    def near(self, i: int, words: list[tuple[str, ...]], whole: set[str], need: list[int], reach: int = 1) -> set[int]:
-        """Records in the squares around record i, up to `reach` away, that share enough near words, or a key of the whole name."""
-        out: set[int] = set()
-        y, x = self.y[i], self.x[i]
-        for at in [(v, h) for v in range(y - reach, y + reach + 1) for h in range(x - reach, x + reach + 1)]:
-            if at not in self.words:
-                continue
-            here = self.words[at]
-            hits: dict[int, int] = defaultdict(int)
-            for near in words:
-                found: set[int] = set()
-                for w in near:
-                    if w in here:
-                        found.update(here[w])
-                for j in found:
-                    hits[j] += 1
-            out.update(j for j, h in hits.items() if h >= need[i] or h >= need[j])
-            here = self.whole[at]
-            for k in whole:
-                if k in here:
-                    out.update(here[k])
-        return out
+def squares(size: float, lat: np.ndarray, lng: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squares of the map that are nowhere narrower than `size` metres: what is within `size` lies in the same or a neighbouring one."""
+    lng = np.where(lng < 0, lng + 360, lng) if len(lng) and lng.max() - lng.min() > 180 else lng
+    m = np.radians(1) * EARTH_M
+    low = np.cos(np.radians(min(89.99, float(np.abs(lat).max(initial=0)))))
+    return np.floor(lat * m / size).astype(np.int64), np.floor(lng * m * low / size).astype(np.int64)
+
+
+PAIRS = 2_000_000  # pairs of records that are looked at together
+
+
+class Near:
+    """Which pairs of records may be one: the first at home, near enough by their squares, each pair from one side if both are at home."""
+
+    def __init__(self, lat: np.ndarray, lng: np.ndarray, coarse: np.ndarray, home: np.ndarray, rank: np.ndarray):
+        self.fine, self.rough = squares(FINE, lat, lng), squares(REACH, lat, lng)
+        self.coarse, self.home, self.rank = coarse, home, rank
+
+    def pairs(self, a: np.ndarray, b: np.ndarray) -> Iterator[np.ndarray]:
+        """Numbers (first * n + second) of the pairs of a and b that are near, in pieces of bounded size."""
+        a, n = a[self.home[a]], len(self.home)
+        step = max(1, PAIRS // max(1, len(b)))
+        for k in range(0, len(a), step):
+            i = a[k : k + step, None]
+            at = lambda grid: (np.abs(grid[0][i] - grid[0][b]) <= 1) & (np.abs(grid[1][i] - grid[1][b]) <= 1)  # noqa: B023, E731
+            ok = at(self.fine)
+            if self.coarse[i].any() or self.coarse[b].any():
+                ok |= (self.coarse[i] | self.coarse[b]) & at(self.rough)
+            ok &= (self.rank[b] > self.rank[i]) | ~self.home[b] & (i != b)
+            x, y = np.nonzero(ok)
+            if len(x):
+                yield i[x, 0] * n + b[y]
+
+
+def candidate_pairs(words: list[list[str]], whole: list[set[str]], need: np.ndarray, near: Near) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of near records that share enough near words, or a key of the whole name."""
+    n = len(words)
+    of: dict[str, list[int]] = defaultdict(list)
+    for j, ws in enumerate(words):
+        for w in dict.fromkeys(ws):
+            of[w].append(j)
+    at = {w: np.array(js) for w, js in of.items()}
+    index = WordIndex(of)
+    met = []
+    for w, a in at.items():
+        if near.home[a].any():
+            around = [at[v] for v in index.near(w)]
+            met += near.pairs(a, np.unique(np.concatenate(around)) if len(around) > 1 else around[0])
+    pair, hits = np.unique(np.concatenate(met), return_counts=True) if met else (np.empty(0, np.int64), np.empty(0, np.int64))
+    pair = pair[(hits >= need[pair // n]) | (hits >= need[pair % n])]
+    keys: dict[str, list[int]] = defaultdict(list)
+    for j, ks in enumerate(whole):
+        for k in ks:
+            keys[k].append(j)
+    more = [pair]
+    for js in {tuple(js) for js in keys.values() if len(js) > 1}:  # records of one name share many keys, and are taken once
+        a = np.array(js)
+        more += near.pairs(a, a)
+    pair = np.unique(np.concatenate(more))
+    return pair // n, pair % n
 
 
 def near_pairs(right: list[tuple], home: list[bool], branches: frozenset) -> Iterator[tuple]:
@@ -150,56 +168,41 @@ def near_pairs(right: list[tuple], home: list[bool], branches: frozenset) -> Ite
 
     At least one of a pair is at home in this cell; a pair that two cells see comes twice.
 
-    Pairs of well-placed records are looked for within `FINE` metres, pairs with a coarse one within `REACH`, each in squares of
-    fitting size, so the work for a record depends on what is around it and not on how many records its cell holds.
+    Pairs of well-placed records are looked for within `FINE` metres, pairs with a coarse one within `REACH`, by squares of fitting
+    size; words and keys are looked up once for all records that have them.
     """
     towns = {t: frozenset(t.split()) for t in {r[8] for r in right}}
     names = [parse(r[2], branches, towns[r[8]]) for r in right]
     native = any(n.native for n in names)
-    words = [found_words(n) for n in names]
     whole = [extra_keys(n) | (sound_keys(n) if native else set()) for n in names]
-    often = Counter(k for ks in whole for k in ks)
-    whole = [{k for k in ks if often[k] > 1} for ks in whole]  # a key of one record brings it to none
-    index = WordIndex(w for ws in words for w in ws)
-    lat, lng = np.array([r[3] for r in right]), np.array([r[4] for r in right])
-    fine, rough = Squares(FINE, lat, lng), Squares(REACH, lat, lng)
-    some_coarse, far = any(r[5] for r in right), math.ceil(REACH / FINE)
-    for j, r in enumerate(right):
-        fine.add(j, words[j], whole[j])
-        if r[5]:
-            rough.add(j, words[j], whole[j])
-    need = [needed(n) for n in names]
+    lat, lng, coarse, at_home = np.array([r[3] for r in right]), np.array([r[4] for r in right]), np.array([r[5] for r in right]), np.array(home)
+    rank = np.empty(len(right), np.int64)
+    rank[sorted(range(len(right)), key=lambda j: right[j][:2])] = np.arange(len(right))
+    near = Near(lat, lng, coarse, at_home, rank)
+    i, j = candidate_pairs([found_words(n) for n in names], whole, np.array([needed(n) for n in names]), near)
+    metres = great_circle_np(lat[i], lng[i], lat[j], lng[j])
+    some_coarse = coarse[i] | coarse[j]
+    close = metres <= np.where(some_coarse, REACH, FINE)
     addr: dict[int, object] = {}
 
-    def address(j: int):
-        if j not in addr:
-            addr[j] = addresses.parse(right[j][6], None, frozenset()) if right[j][6] else None
-        return addr[j]
-
-    for i, r in enumerate(right):
-        if not home[i]:
-            continue
-        near = [index.near(w) for w in words[i]]
-        cand = fine.near(i, near, whole[i], need, far) if r[5] else fine.near(i, near, whole[i], need) | (rough.near(i, near, whole[i], need) if some_coarse else set())
-        js = np.array([j for j in cand if j != i and (right[j][:2] > r[:2] or not home[j])], int)
-        if not len(js):
-            continue
-        m = great_circle_np(r[3], r[4], lat[js], lng[js])
-        for j, d in zip(js.tolist(), m.tolist()):
-            o = right[j]
-            coarse = r[5] or o[5]
-            if d > (REACH if coarse else FINE):
-                continue
-            across = r[0] != o[0]
-            c = same_name(names[i], names[j], need_branch=not across, weak=across)  # the map often leaves a branch out
-            if c:
-                first, second = (i, j) if r[:2] < o[:2] else (j, i)  # pages before elements, smaller ids first
-                t = evidence(c, d, coarse, address(i), address(j), *((right[second][7], right[first][7]) if across else ()))
-                if across:
-                    if t > LEAST_ODDS:
-                        yield "match", right[first][1], right[second][1], t
-                elif t > 1.0:
-                    yield ("page" if r[0] == 0 else "place"), right[first][1], right[second][1], t
+    def address(k: int):
+        if k not in addr:
+            addr[k] = addresses.parse(right[k][6], None, frozenset()) if right[k][6] else None
+        return addr[k]
+
+    for a, b, d, rough in zip(i[close].tolist(), j[close].tolist(), metres[close].tolist(), some_coarse[close].tolist()):
+        if rank[a] > rank[b]:  # pages before elements, smaller ids first
+            a, b = b, a
+        r, o = right[a], right[b]
+        across = r[0] != o[0]
+        c = same_name(names[a], names[b], need_branch=not across, weak=across)  # the map often leaves a branch out
+        if c:
+            t = evidence(c, d, rough, address(a), address(b), *((o[7], r[7]) if across else ()))
+            if across:
+                if t > LEAST_ODDS:
+                    yield "match", r[1], o[1], t
+            elif t > 1.0:
+                yield ("page" if r[0] == 0 else "place"), r[1], o[1], t
 
 
 LEAST_ODDS = -3.0  # a pair below takes no part: alone it has a probability of 5 %, and it moves a rival by as much at most

@@ -64,8 +64,8 @@ def all_keys(n: Name) -> set[str]:
 
 
 def needed(n: Name) -> int:
-    """How many words of a name have to be found."""
-    return max(1, sum(1 for w in n.core if len(w) > 1 and not w.isdigit() and not soft(w)))
+    """How many different words of a name have to be found."""
+    return max(1, sum(1 for w in set(n.core) if len(w) > 1 and not w.isdigit() and not soft(w)))
 
 
 class WordIndex:

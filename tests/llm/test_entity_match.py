@@ -45,3 +45,33 @@ def test_matches(spark):
     salted = entity_match.match_places(v, o, group_rows=3)
     assert {(r["venue_key"], r["osm_id"]) for r in salted.collect()} == want
     assert entity_match.match_places(v.where("false"), o).count() == 0
+
+
+def test_candidates_whatever_the_cells_hold(spark):
+    """Repeated words, a chain of pages, equal records and crowded cells: the bound on a cell's records changes nothing."""
+    venues = [(i, f"v{i}", "Bora Bora Brewery", "Brewery", None, "York", 51.5 + i * 0.0015, -0.1, "embedded", "x") for i in range(8)] + [(20 + i, f"w{i}", "Copper Kettle", "Bar", None, "York", 51.6, -0.1, "embedded", "x") for i in range(30)]
+    osm = [(100, "Bora Bora Brewery", 51.5, -0.1, "brewery", {}), (101, "Coper Kettle", 51.6001, -0.1, "bar", {}), (102, "Copper Kettle", 51.6, -0.1, "bar", {}), (103, "Bora Inn", 51.5, -0.1, "pub", {})]
+    v, o = spark.createDataFrame(venues, V), spark.createDataFrame(osm, O)
+    want = {(i, 100) for i in range(8)} | {(20 + i, e) for i in range(30) for e in (101, 102)}
+    for bound in (12_000, 4):
+        assert {(r["venue_key"], r["osm_id"]) for r in entity_match.match_places(v, o, group_rows=bound).collect()} == want, bound
+
+
+def test_rivals_share_their_confidence(spark):
+    """Two branches of one house claim an element that names no branch: the nearer one wins, less surely than alone."""
+    venues = [(1, "a", "Golden Anvil - Station", "Bar", None, None, 51.5, -0.1, "embedded", "x"), (2, "b", "Golden Anvil - Harbour", "Bar", None, None, 51.502, -0.1, "embedded", "x")]
+    osm = [(100, "Golden Anvil", 51.5001, -0.1, "bar", {})]
+    both = {r["venue_key"]: r["confidence"] for r in entity_match.match_places(spark.createDataFrame(venues, V), spark.createDataFrame(osm, O), accept=0.0).collect()}
+    alone = entity_match.match_places(spark.createDataFrame(venues[:1], V), spark.createDataFrame(osm, O)).first()["confidence"]
+    assert 0.5 < both[1] < alone and 0.02 < both[2] < 0.5
+
+
+def test_grouped_follows_long_chains(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(1, 12)] + [(50, 51)], "a long, b long")
+    assert {(r["id"], r["grp"]) for r in entity_match.grouped(chain).collect()} == {(i, 1) for i in range(1, 13)} | {(50, 50), (51, 50)}
+    assert entity_match.grouped(chain.where("false")).count() == 0
+
+
+def test_kind_of_house_is_evidence():
+    same, other, unknown = (entity_match.evidence(0.8, 50.0, False, None, None, k, c) for k, c in (("pub", "Gastropub"), ("alcohol", "Cocktail Bar"), ("unknown", "Pub")))
+    assert same > unknown > other
