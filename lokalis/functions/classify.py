@@ -72,3 +72,23 @@ def drinking_element(tags: Column) -> Column:
     """Whether an element is one of the kinds that are asked for."""
     t = lambda k: F.coalesce(tags.getItem(k), F.lit(""))
     return t("amenity").isin("bar", "pub", "biergarten") | t("craft").isin("brewery", "distillery") | (t("microbrewery") == "yes") | (t("shop") == "alcohol")
+
+
+def full_counts(total: Column, uniques: Column, monthly: Column) -> Column:
+    """Whether all three public counts are known."""
+    return total.isNotNull() & uniques.isNotNull() & monthly.isNotNull()
+
+
+def said_closed(status: Column) -> Column:
+    """Whether a status says that a place is closed; no other status does."""
+    return F.coalesce(status.isin("CLOSED_PERMANENTLY", "CLOSED_TEMPORARILY"), F.lit(False))
+
+
+def has_part(category: Column, vocabulary: list[str]) -> Column:
+    """Whether a comma-separated part of a label is in a vocabulary of lower-case words; accents count."""
+    return F.exists(F.split(F.coalesce(category, F.lit("")), ","), lambda p: F.lower(F.trim(p)).isin(vocabulary))
+
+
+def cut_off(found: Column, full: int = 55) -> Column:
+    """Whether an answer holds so many rows that it was cut off; no rows are a whole answer."""
+    return F.coalesce(found >= full, F.lit(False))

@@ -208,3 +208,8 @@ def request_key(url: Column, params: Column, length: int = 64) -> Column:
     """Fingerprint of a request: SHA-256 of its address and its parameters (a map) in the order of their names."""
     query = F.array_join(F.transform(F.array_sort(F.map_entries(params)), lambda e: F.concat(e["key"], F.lit("="), F.url_encode(e["value"]))), "&")
     return F.substring(F.sha2(F.concat(url, F.when(F.size(params) > 0, F.concat(F.lit("?"), query)).otherwise(F.lit(""))), 256), 1, length)
+
+
+def search_url(base: str, query: Column) -> Column:
+    """Address of a search, the query encoded as in a form: blanks as plus signs."""
+    return F.concat(F.lit(base.rstrip("/") + "/search?q="), F.url_encode(query))

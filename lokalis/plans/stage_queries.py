@@ -220,3 +220,16 @@ def x_enrich(spark: SparkSession, d: str) -> DataFrame:
     refs = table(spark, d, "venue_refs").where("name is not null").select("ref_id", "sweep_no", "name", "city", "address", c("venue_id").alias("page_id"))
     pages = sets.first_by(table(spark, d, "venues").where(PLACED).where("venue_id is not null").select(c("venue_id").alias("page_id"), "venue_key", "lat", "lng"), ["page_id"], ["venue_key"])
     return pipelines.enrich_stage(names, refs, pages.select("page_id", "lat", "lng"), ["sweep_no"])[1]
+
+
+@query("""select venue_key, total is not null and uniques is not null and monthly is not null as counted, coalesce(business_status in ('CLOSED_PERMANENTLY', 'CLOSED_TEMPORARILY'), false) as closed,
+    len(list_filter(string_split(coalesce(category, ''), ','), lambda p: lower(trim(p)) in ('pub', 'bar', 'brewery', 'taproom'))) > 0 as drinking, coalesce(total >= 55, false) as many from venues""")
+def t_predicates(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "venues")
+    return v.select("venue_key", classify.full_counts(c("total"), c("uniques"), c("monthly")).alias("counted"), classify.said_closed(c("business_status")).alias("closed"), classify.has_part(c("category"), ["pub", "bar", "brewery", "taproom"]).alias("drinking"), classify.cut_off(c("total")).alias("many"))
+
+
+@query("""select osm_id, 'https://pages.example/search?q=' || replace(url_encode(regexp_replace(coalesce(name, ''), '[^A-Za-z ]', '', 'g')), '%20', '+') as url from osm_venues""")
+def t_search_url(spark: SparkSession, d: str) -> DataFrame:
+    plain = F.regexp_replace(F.coalesce("name", F.lit("")), "[^A-Za-z ]", "")
+    return table(spark, d, "osm_venues").select("osm_id", text.search_url("https://pages.example", plain).alias("url"))

@@ -303,9 +303,12 @@ def w_camera_track(spark: SparkSession, d: str) -> DataFrame:
     return sequences.camera_track(p, 51.5, -0.1, F.lit(10.2), ["user_id"], "event_id").select("event_id", F.round("cam_lat", 6).alias("cam_lat"), F.round("cam_lng", 6).alias("cam_lng"))
 
 
-@query()
+@query("""with recursive e as (select user_id, epoch_us(ts) // 1000000 as s from events where ts is not null), w(user_id, started) as (select user_id, min(s) from e group by 1
+    union all select w.user_id, (select min(s) from e where e.user_id = w.user_id and e.s >= w.started + 3600) from w where (select min(s) from e where e.user_id = w.user_id and e.s >= w.started + 3600) is not null)
+    select w.user_id, w.started, count(*) as events from w join e on e.user_id = w.user_id and e.s >= w.started and e.s < w.started + 3600 group by 1, 2""")
 def w_activation_windows(spark: SparkSession, d: str) -> DataFrame:
-    return sequences.activation_windows(table(spark, d, "events").withColumn("s", seconds("ts")), "user_id", "s")
+    """Windows of an hour, each begun by the first event after the one before."""
+    return sequences.activation_windows(table(spark, d, "events").withColumn("s", seconds("ts")), "user_id", "s").selectExpr("user_id", "cast(started as bigint) as started", "cast(events as bigint) as events")
 
 
 @query("""select venue_key, geo_source = 'nominatim' or coalesce(1788220800 - epoch_us(fetched_at) // 1000000 < 2592000, false) as live from venues""")

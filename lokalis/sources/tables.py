@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lokalis.functions.text import number_or_null, slug_of_url, strict_count
+from lokalis.operators.summaries import note_line
 
 COLUMNS = ["venue_id", "name", "category", "address", "city", "total", "unique", "monthly", "you", "lat", "lng", "geo_source", "business_status", "url"]
 COUNTS, OPTIONAL = ["total", "unique", "monthly", "you"], ["category", "address", "city"]
@@ -53,6 +54,15 @@ def place_pairs(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("name", whole.alias("address"))
 
 
+def note_rows(spark: SparkSession, path: str, label: str = "") -> DataFrame:
+    """(name, address, note) of the rows with at least one count; unlike `place_pairs` the city never stands for a missing address."""
+    rows = stage(spark, path)
+    rank = F.col("rank") if "rank" in rows.columns else None
+    noted = rows.withColumn("note", note_line(F.col("total"), F.col("unique"), F.col("monthly"), rank, label=label)).where("note <> ''")
+    line = F.when(F.contains(F.lower("address"), F.lower("city")), F.col("address")).otherwise(F.concat_ws(", ", "address", "city"))
+    return noted.select("name", F.when(F.col("address").isNotNull(), line).alias("address"), "note")
+
+
 def label_sheet(spark: SparkSession, path: str) -> DataFrame:
     """A filled-in label sheet; UTF-8, or Windows-1252 where that can't be decoded. Raises if a stratum's size is missing or differs."""
     df = read_csv(spark, path)

@@ -185,3 +185,10 @@ def test_small_summaries(spark):
     df = spark.createDataFrame([(1, "Oak", 3), (2, "oak", 1), (3, "Elm", 2), (4, " ", 0)], "id int, name string, p int")
     assert [r[0] for r in summaries.prominent_names(df, "name", ["p", "id"], 2).collect()] == ["oak", "Elm"]
     assert rows_of(summaries.ranked(df, [], [F.col("p")], 2), "id", "rank") == {(4, 1), (2, 2)}
+
+
+def test_note_rows(spark, tmp_path):
+    from lokalis.sources import tables
+
+    (tmp_path / "n.csv").write_text("rank,name,address,city,total,unique,monthly\n1,Oak,1 Road,York,1200,,3\n2,Elm,,York,5,,\n3,Ash,2 Lane York,York,,,\n", encoding="utf-8")
+    assert rows_of(tables.note_rows(spark, str(tmp_path / "n.csv"), "Pubs"), "name", "address", "note") == {("Oak", "1 Road, York", "Pubs #1 | 1,200 check-ins | 3/month"), ("Elm", None, "Pubs #2 | 5 check-ins")}
