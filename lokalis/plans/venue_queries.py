@@ -371,11 +371,17 @@ def f_robust_fits(spark: SparkSession, d: str) -> DataFrame:
     return fit.robust_fits(p.select("sweep_no", s["e"].alias("sx"), s["n"].alias("sy"), t["e"].alias("dx"), t["n"].alias("dy")), "sweep_no")
 
 
-@query()
+@query(f"""with {PINS}, o as (select sweep_no, cell, (page_lng - pin_lng) * 111320 * cos(radians(46.6)) as e, (page_lat - pin_lat) * 110540 as n from pins),
+    m as (select sweep_no, cell, median(e) as me, median(n) as mn from o group by 1, 2),
+    g as (select o.sweep_no, o.cell, any_value(me) as me, any_value(mn) as mn from o join m on o.sweep_no = m.sweep_no and o.cell is not distinct from m.cell group by 1, 2 having count(*) >= 3 and avg(case when sqrt(pow(e - me, 2) + pow(n - mn, 2)) <= 250 then 1.0 else 0.0 end) >= 0.6),
+    k as (select c.sweep_no, c.cell, g.me, g.mn, last_value(g.me ignore nulls) over w as ce, last_value(g.mn ignore nulls) over w as cn from (select distinct sweep_no, cell from resolutions) c left join g on c.sweep_no = g.sweep_no and c.cell is not distinct from g.cell
+        window w as (partition by c.sweep_no order by c.cell nulls last rows between unbounded preceding and current row))
+    select r.res_id, r.sweep_no, r.cell, round(case when ce is not null and lat is not null then lat + cn / 110540 else lat end, 6) as lat, round(case when ce is not null and lat is not null then lng + ce / (111320 * cos(radians(46.6))) else lng end, 6) as lng,
+      case when me is not null then 'anchored' when ce is not null then 'carried' else 'unmeasured' end as anchor from resolutions r join k on r.sweep_no = k.sweep_no and r.cell is not distinct from k.cell""")
 def f_anchored_cells(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "resolutions").select("res_id", "sweep_no", "cell", "lat", "lng")
     m = _resolved_pins(spark, d).select("sweep_no", "cell", c("pin_lat").alias("lat"), c("pin_lng").alias("lng"), c("page_lat").alias("known_lat"), c("page_lng").alias("known_lng"))
-    return fit.anchored_cells(r, m, F.lit(46.6), F.lit(-1.0), ["sweep_no"])
+    return fit.anchored_cells(r, m, F.lit(46.6), F.lit(-1.0), ["sweep_no"]).withColumns({"lat": F.round("lat", 6), "lng": F.round("lng", 6)})
 
 
 @query(f"""with {PINS}, d as (select a.sweep_no, sqrt(pow(a.pin_lng - b.pin_lng, 2) + pow(a.pin_lat - b.pin_lat, 2)) as px, sqrt(pow(a.page_lng - b.page_lng, 2) + pow(a.page_lat - b.page_lat, 2)) as m
