@@ -9,7 +9,7 @@ Each distinct street of a group and number is hashed and aligned once, however m
 house number in buckets of about `BUCKET_ROWS` addresses; a number with more than `GROUP_ROWS` addresses in a group goes by its
 band keys. Copies are collapsed before matching and expanded by joins.
 
-Defined results: NULL, blank and number-less addresses match nothing; identical strings are no pair; a NULL group is a group; a
+Defined results: NULL, blank and number-less addresses, and rows without an id, match nothing; identical strings are no pair; a NULL group is a group; a
 missing town contradicts none. Units, floors, shops and postcodes do not make another location; `12` and `12a` do. A number of
 five digits or more is a house number where it begins an address that has no other number; elsewhere it is a postcode.
 """
@@ -349,7 +349,7 @@ def address_pairs(refs: DataFrame, cities: DataFrame, group_rows: int = GROUP_RO
 
     The words of `cities`, a fixed list that every task holds, tell the towns of every sweep apart, however rare a town is in it.
     """
-    src = refs.where(F.col("address").rlike(r"\p{Nd}")).select("ref_id", F.col("sweep_no").alias("grp"), "address", "city")
+    src = refs.where(F.col("address").rlike(r"\p{Nd}") & F.col("ref_id").isNotNull()).select("ref_id", F.col("sweep_no").alias("grp"), "address", "city")
     recs = cut(src.groupBy("grp", "address", "city").agg(F.min("ref_id").alias("id")))
     town = F.explode(F.split(F.lower(F.translate("city_name", "áàâäãåéèêëíìîïóòôöõøúùûüñç", "aaaaaaeeeeiiiioooooouuuunc")), r"[^\p{L}]+")).alias("word")
     towns = frozenset(r["word"] for r in cities.select(town).where(F.length("word") >= 3).distinct().collect())

@@ -11,7 +11,7 @@ Repeated records (all that counts is equal) are matched once. Cells with more th
 smaller ones; a place with more than `GROUP_ROWS` records is spread by its index keys over as many tasks as it needs. What a
 record's name means does not depend on this: the words of towns come from the place lines of the cell it lies in.
 
-Defined results: rows with NULL, (0, 0) or out-of-range points, or NULL or blank names, are never matched; repeated page rows
+Defined results: rows with NULL, (0, 0) or out-of-range points, NULL or blank names, or without an id, are never matched; repeated page rows
 and repeated elements all appear; an empty side gives an empty result; extra columns are ignored.
 """
 
@@ -56,7 +56,7 @@ def records(venues: DataFrame, elements: DataFrame) -> DataFrame:
     a = pages.select(F.lit(0).alias("side"), F.col("r.venue_key").alias("id"), "r.name", "r.lat", "r.lng", F.coalesce(F.col("r.geo_source").isin(sorted(COARSE)), F.lit(False)).alias("coarse"), "r.address", F.col("r.city").alias("place"), F.col("r.category").alias("kind"))
     tag = lambda k: F.col("tags").getItem(k)
     street = F.when(tag("addr:street").isNotNull() & tag("addr:housenumber").isNotNull(), F.concat_ws(" ", tag("addr:housenumber"), tag("addr:street")))
-    b = elements.where(usable()).select(F.lit(1).alias("side"), F.col("osm_id").alias("id"), "name", "lat", "lng", F.lit(False).alias("coarse"), street.alias("address"), F.lit(None).cast("string").alias("place"), "kind")
+    b = elements.where(usable() & F.col("osm_id").isNotNull()).select(F.lit(1).alias("side"), F.col("osm_id").alias("id"), "name", "lat", "lng", F.lit(False).alias("coarse"), street.alias("address"), F.lit(None).cast("string").alias("place"), "kind")
     return a.unionByName(b)
 
 
@@ -67,7 +67,7 @@ def usable():
 
 def usable_pages(venues: DataFrame) -> DataFrame:
     """The usable rows with the page they belong to."""
-    return venues.where(usable()).withColumn("page", F.coalesce("venue_id", F.concat(F.lit("row "), F.col("venue_key").cast("string"))))
+    return venues.where(usable() & F.col("venue_key").isNotNull()).withColumn("page", F.coalesce("venue_id", F.concat(F.lit("row "), F.col("venue_key").cast("string"))))
 
 
 def home_cell():

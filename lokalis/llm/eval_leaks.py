@@ -16,7 +16,7 @@ fewer than `PLAIN` ordinary words says too little and keeps its words instead of
 The items are a query set held against all documents in blocks of at most `BLOCK_WORDS` words, so what a task holds of them is
 bounded whatever their number. Documents are read whole, each in one piece.
 
-Defined results: NULL and empty documents or items leak nothing; an item shorter than `LEAST` words cannot leak; repeated
+Defined results: NULL and empty documents or items, and those without an id, leak nothing; an item shorter than `LEAST` words cannot leak; repeated
 documents are reported once for each doc_id, with their longest runs.
 """
 
@@ -233,10 +233,10 @@ def leaked(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_
     """(doc_id, item_id, words, template_words, replaced): documents and the items they hold; a run that is too short counts 0."""
     spark = documents.sparkSession
     ship(spark)
-    docs = documents.select(doc_id, "text").where("text is not null")
+    docs = documents.select(doc_id, "text").where(F.col("text").isNotNull() & F.col(doc_id).isNotNull())
     schema = f"{doc_id} long, {item_id} long, words int, template_words int, replaced int"
     out = None
-    for block in _blocks(items.select(item_id, "text").where("text is not null"), block_words):
+    for block in _blocks(items.select(item_id, "text").where(F.col("text").isNotNull() & F.col(item_id).isNotNull()), block_words):
         held = spark.sparkContext.broadcast(Items(block))
 
         def run(parts: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
