@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from lokalis.functions.geo import haversine_m, planar_offset
 from lokalis.functions.text import calibration_keys, join_name, name_forms
-from lokalis.runtime import ship
+from lokalis.runtime import cut, sent, ship, spread
 
 NAME_MIN, MATCH_M, TRIES = 0.85, 1000.0, 2
+BLOCK = 3_000  # names or refs of a group that one task compares at a time
+LETTERS = 256  # columns of numbered letters
 SHIFT_BAND = 0.12  # degrees; more than the farthest neighbour
 SHIFT_NEED, SHIFT_AGREE_M, SHIFT_NEAR_M, SHIFT_MAX_M = 2, 100.0, 10_000.0, 5_000.0
 
@@ -38,36 +44,52 @@ def match_known(swept: DataFrame, known: DataFrame, swept_id: str, known_id: str
     return unambiguous(placed, known, swept_id, known_id, calibration_keys(F.col("name")), calibration_keys(F.col("name")))
 
 
-COMMON = "etaoinsrhldcumfpgwybvkxjzq"  # letters, the most frequent first
+def _letters(forms: list[str], known: dict[tuple[str, int], int]) -> np.ndarray:
+    """A row for each form with its letters, numbered among equal ones, in `LETTERS` columns; `known` gives them their columns."""
+    at = [(n, known.setdefault((ch, k), len(known)) % LETTERS) for n, form in enumerate(forms) for ch, count in Counter(form).items() for k in range(count)]
+    out = np.zeros((len(forms), LETTERS), np.float32)
+    np.add.at(out, tuple(np.array(at, dtype=np.int64).reshape(-1, 2).T), 1)
+    return out
 
 
-def rare_letters(form: str, least: float) -> list[str]:
-    """Letters (numbered among equal ones) of which two forms share one if their matching-blocks ratio is at least `least`.
-
-    The matched letters are shared ones, and at least `least / (2 - least)` of each form; so of each form's letters in one fixed
-    order, the rarer first, the first that may miss all shared ones and one more are enough.
-    """
-    seen: dict[str, int] = {}
-    letters = []
-    for ch in form:
-        seen[ch] = seen.get(ch, 0) + 1
-        letters.append((-seen[ch], -COMMON.find(ch) if ch in COMMON else -len(COMMON), ch))
-    need = math.ceil(least / (2 - least) * len(form) - 1e-9)
-    return [f"{ch}{-k}" for k, _, ch in sorted(letters)[: len(form) - max(need, 1) + 1]]
+def _common(a: str, places: dict[str, int], length: int) -> int:
+    """Length of the longest common subsequence of `a` and a text of that length, given as the bits of each letter's places."""
+    full = left = (1 << length) - 1
+    for ch in a:
+        met = left & places.get(ch, 0)
+        left = (left + met | left - met) & full
+    return length - left.bit_count()
 
 
-def name_score(a: Column, b: Column, least: float) -> Column:
-    """Best matching-blocks ratio over the forms of two names (arrays from `name_forms`), 0 below `least`; shared letters bound it."""
+def close_forms(a: list[str], b: list[str], least: float) -> Iterator[tuple[int, int, float]]:
+    """(number in a, number in b, matching-blocks ratio) of all pairs of a form of each list whose ratio is at least `least`.
 
-    @F.pandas_udf("double")
-    def score(x: pd.Series, y: pd.Series) -> pd.Series:
-        best = []
-        for s, t in zip(x, y):
-            m = (SequenceMatcher(None, p, q) for p in s for q in t)
-            best.append(max((k.ratio() for k in m if k.real_quick_ratio() >= least and k.quick_ratio() >= least), default=0.0))
-        return pd.Series(best, dtype="float64")
-
-    return score(a, b)
+    The matched letters are shared ones and a common subsequence. Shared letters are counted for all pairs of lengths that can reach
+    the ratio, as a product of matrices (letters that meet in one column only raise the bound); what they let through has its longest
+    common subsequence measured, and only what is left is aligned.
+    """
+    x, y = sorted(range(len(a)), key=lambda i: len(a[i])), sorted(range(len(b)), key=lambda j: len(b[j]))
+    known: dict[tuple[str, int], int] = {}
+    la, lb = np.array([len(a[i]) for i in x]), np.array([len(b[j]) for j in y])
+    u, v = _letters([a[i] for i in x], known), _letters([b[j] for j in y], known)
+    places: dict[int, dict[str, int]] = {}
+    for n in np.unique(la).tolist():
+        s, e = np.searchsorted(lb, [math.ceil(n * least / (2 - least) - 1e-9), n * (2 - least) / max(least, 1e-9) + 1e-9], "left")
+        first, last = np.searchsorted(la, [n, n + 1], "left")
+        for k in range(first, last, 256):
+            shared = u[k : min(k + 256, last)] @ v[s:e].T
+            for i, j in np.argwhere(2 * shared + 1e-3 >= least * (n + lb[s:e])).tolist():
+                i, j = x[k + i], y[s + j]
+                p, q = a[i], b[j]
+                if p == q and len(q) < 200:  # difflib takes frequent letters of longer texts for noise
+                    yield i, j, 1.0
+                    continue
+                if j not in places:
+                    places[j] = {}
+                    for bit, ch in enumerate(q):
+                        places[j][ch] = places[j].get(ch, 0) | 1 << bit
+                if 2 * _common(p, places[j], len(q)) + 1e-9 >= least * (n + len(q)) and (r := SequenceMatcher(None, p, q).ratio()) >= least:
+                    yield i, j, r
 
 
 def place_rank(city: Column, ref_city: Column, ref_address: Column) -> Column:
@@ -78,30 +100,41 @@ def place_rank(city: Column, ref_city: Column, ref_address: Column) -> Column:
     return F.when((F.coalesce(want, F.lit("")) == "") | (F.coalesce(line, F.lit("")) == ""), 1).when(inside, 2).otherwise(0)
 
 
-def ranked_candidates(names: DataFrame, refs: DataFrame, by: list[str], city: str | None = None, least: float = NAME_MIN) -> DataFrame:
-    """Candidates of each name among the refs of the same group, best first (`rank` from 1).
+def ranked_candidates(names: DataFrame, refs: DataFrame, by: list[str], city: str | None = None, least: float = NAME_MIN, also: list[str] | None = None, rows_each: int = BLOCK) -> DataFrame:
+    """Candidates of each name among the refs of the same group, best first (`rank` from 1), with the columns `also` of the ref.
 
-    names: `by`, name_id, name; refs: `by`, ref_id, name, city, address. A score of `least` bounds the ratio of the lengths
-    (2 * shorter / (both)), which is tested before the score is computed; the group and a shared rare letter (`rare_letters`, which
-    loses no pair) keep the join from being one of all with all.
+    names: `by`, name_id, name; refs: `by`, ref_id, name, city, address. Groups are compared whole (`close_forms`), each name and
+    ref shuffled once; those of more than `rows_each` names or refs go in blocks, of which each pair is one task's.
     """
     ship(names.sparkSession)
+    also, by_all = also or [], by or ["_all"]
+    held = lambda df: (df if by else df.withColumn("_all", F.lit(0))).dropna(subset=by_all).withColumn("_f", name_forms(F.col("name")))
+    a, b = held(names).select(*by_all, "name_id", "_f").where(F.size("_f") > 0), held(refs).where(F.size("_f") > 0)
+    b = b.select(*by_all, "ref_id", "_f", (place_rank(F.lit(city), F.col("city"), F.col("address")) if city else F.lit(1)).alias("place_rank"), *also)
+    blocks = lambda df, to: sent(df.groupBy(*by_all).agg(F.ceil(F.count("*") / rows_each).cast("int").alias(to)).where(F.col(to) > 1))
+    na, nb = blocks(names if by else names.withColumn("_all", F.lit(0)), "_na"), blocks(refs if by else refs.withColumn("_all", F.lit(0)), "_nb")
+    dealt = lambda df: df.join(na, by_all, "left").join(nb, by_all, "left").na.fill(1, ["_na", "_nb"])
+    every, own = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)), lambda k, n: F.pmod(F.xxhash64(k), F.col(n)).cast("int")
+    a, b = dealt(a).withColumns({"_p": own("name_id", "_na"), "_q": every("_nb")}), dealt(b).withColumns({"_q": own("ref_id", "_nb"), "_p": every("_na")})
+    a, b = (spread(df.drop("_na", "_nb"), *by_all, "_p", "_q").groupBy(*by_all, "_p", "_q") for df in (a, b))
+    schema = StructType([*(names.schema[k] for k in by), names.schema["name_id"], *(refs.schema[k] for k in ("ref_id", *also)), StructField("place_rank", IntegerType()), StructField("score", DoubleType())])
+
+    def match(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        at: tuple[dict[str, list[int]], dict[str, list[int]]] = {}, {}
+        for of, rows in zip(at, (x, y)):
+            for n, forms in enumerate(rows["_f"]):
+                for f in forms:
+                    of.setdefault(f, []).append(n)
+        one, two = (list(of.values()) for of in at)
+        found = [(np.repeat(one[i], len(two[j])), np.tile(two[j], len(one[i])), np.full(len(one[i]) * len(two[j]), r)) for i, j, r in close_forms(list(at[0]), list(at[1]), least)]
+        i, j, score = (np.concatenate(c) for c in zip(*found)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        order = np.lexsort((-score, j, i))  # of several forms of a pair the best counts
+        order = order[np.append(True, (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0))[: len(order)]]
+        left, right = x[[*by, "name_id"]].iloc[i[order]].reset_index(drop=True), y[["ref_id", *also, "place_rank"]].iloc[j[order]].reset_index(drop=True)
+        return pd.concat([left, right], axis=1).assign(score=score[order])
 
-    @F.pandas_udf("array<string>")
-    def keys(forms: pd.Series) -> pd.Series:
-        return pd.Series([sorted({k for f in fs for k in rare_letters(f, least)}) if fs is not None else None for fs in forms])
-
-    word = lambda df: df.withColumn("_f", name_forms(F.col("name"))).withColumn("_w", F.explode(keys("_f")))
-    a, b = word(names.select(*by, "name_id", "name")), word(refs.select(*by, "ref_id", "name", *(["city", "address"] if city else [])))
-    extra = [F.first("city").alias("city"), F.first("address").alias("address")] if city else []
-    pairs = a.withColumnsRenamed({"name": "_an", "_f": "_af"}).join(b.withColumnRenamed("_f", "_bf"), [*by, "_w"]).groupBy(*by, "name_id", "ref_id").agg(F.first("_af").alias("_af"), F.first("_bf").alias("_bf"), F.first("name").alias("ref_name"), *extra)
-    la, lb = F.array_max(F.transform("_af", F.length)), F.array_max(F.transform("_bf", F.length))
-    sa, sb = F.array_min(F.transform("_af", F.length)), F.array_min(F.transform("_bf", F.length))
-    bound = (2 * F.least(la, lb) >= least * (F.least(la, lb) + F.greatest(sa, sb, F.least(la, lb))))
-    scored = pairs.where(bound).withColumn("score", name_score(F.col("_af"), F.col("_bf"), least)).where(F.col("score") >= least)
-    scored = scored.withColumn("place_rank", place_rank(F.lit(city), F.col("city"), F.col("address")) if city else F.lit(1))
     w = Window.partitionBy(*by, "name_id").orderBy(F.desc("place_rank"), F.desc("score"), "ref_id")
-    return scored.withColumn("rank", F.row_number().over(w)).select(*by, "name_id", "ref_id", "score", "place_rank", "rank")
+    return a.cogroup(b).applyInPandas(match, schema).withColumn("rank", F.row_number().over(w)).select(*by, "name_id", "ref_id", "score", "place_rank", "rank", *also)
 
 
 def resolve_by_distance(names: DataFrame, candidates: DataFrame, pages: DataFrame, tries: int = TRIES, most_m: float = MATCH_M) -> DataFrame:
@@ -230,12 +263,17 @@ def enriched(names: DataFrame, refs: DataFrame, pages: DataFrame, by: list[str],
     Candidates are ranked by place and name, verified by distance, near misses that enough neighbours share are accepted, and a
     page that an earlier name of the group has makes the later one a duplicate. Names without a result keep their row.
     """
-    c = ranked_candidates(names.where("name is not null"), refs, by, city)
-    page_of = refs.select("ref_id", "page_id")
-    best = c.join(page_of, "ref_id").where("page_id is not null").groupBy(*by, "name_id", "page_id").agg(F.min("rank").alias("rank"))
-    best = best.withColumn("rank", F.row_number().over(Window.partitionBy("name_id").orderBy("rank", "page_id")))
+    # Names written alike in a group have the same candidates, and of a page's refs written alike the first is enough.
+    said = names.where("name is not null").dropna(subset=by)
+    first = said.groupBy(*by, "name").agg(F.min("name_id").alias("_as"))
+    known = refs.where("page_id is not null").groupBy(*by, "name", "page_id", *(["city", "address"] if city else [])).agg(F.min("ref_id").alias("ref_id"))
+    c = ranked_candidates(first.withColumnRenamed("_as", "name_id"), known, by, city, also=["page_id"])
+    best = c.groupBy(*by, "name_id", "page_id").agg(F.min("rank").alias("rank"))
+    best = best.withColumn("rank", F.row_number().over(Window.partitionBy(*by, "name_id").orderBy("rank", "page_id"))).where(F.col("rank") <= TRIES)
+    best = said.join(first, [*by, "name"]).select("name_id", "_as").join(best.select(F.col("name_id").alias("_as"), "page_id", "rank"), "_as").drop("_as")
     out = resolve_by_distance(names, best, pages).join(names.select(*by, "name_id", F.col("lat").alias("pin_lat"), F.col("lng").alias("pin_lng")), "name_id")
     out = out.join(pages.select("page_id", F.col("lat").alias("page_lat"), F.col("lng").alias("page_lng")), "page_id", "left")
+    out = cut(out)  # read several times below
     out = out.join(shared_shifts(out, by, "name_id"), [*by, "name_id"], "left")
     out = out.withColumn("status", F.when(F.col("support").isNotNull(), "resolved").otherwise(F.col("status"))).withColumn("_page", F.when(F.col("status") == "resolved", F.concat_ws("/", *by, "page_id")))
     return later_duplicates(out, "_page", F.col("status") == "resolved", ["name_id"]).select(*by, "name_id", "status", "page_id", "metres", "support", "duplicate")

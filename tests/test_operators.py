@@ -209,3 +209,41 @@ def test_candidates_against_brute_force(spark):
     want = {(i, j) for i, x in f for j, y in h if max((SequenceMatcher(None, p, q).ratio() for p in x for q in y), default=0) >= 0.85}
     got = {(r["name_id"], r["ref_id"]) for r in matching.ranked_candidates(a, b, ["g"]).collect()}
     assert got == want and (90, 0) in want
+
+
+def test_candidates_shuffle_names_and_not_pairs(spark):
+    rnd = random.Random(3)
+    made = lambda n: [(1, i, " ".join("".join(rnd.choice("aeioubcdlmnrst") for _ in range(7)) for _ in range(3))) for i in range(n)]
+    names, refs = made(100), made(800)
+    refs[7] = (1, 7, names[3][2] + "s")
+    store = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    before = store()
+    a, b = spark.createDataFrame(names, "g int, name_id int, name string"), spark.createDataFrame(refs, "g int, ref_id int, name string")
+    got = {(r["name_id"], r["ref_id"]) for r in matching.ranked_candidates(a, b, ["g"]).collect()}
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert got == {(3, 7)}
+    assert store() - before < 8 * sum(len(n) for _, _, n in names + refs)
+
+
+def test_candidates_in_blocks_and_without_group(spark):
+    rnd = random.Random(5)
+    words = ["Oak Inn", "Étoile", "東京", "(north)", "- Leeds"]
+    made = lambda n: [(i % 3 or None, i, " ".join(rnd.sample(words, rnd.randint(1, 2))) if i % 7 else None) for i in range(n)]
+    a, b = spark.createDataFrame(made(40), "g int, name_id int, name string"), spark.createDataFrame([(*r, f"p{r[1] % 4}") for r in made(60)], "g int, ref_id int, name string, page string")
+    for by in (["g"], []):
+        whole, parts = ({tuple(r) for r in matching.ranked_candidates(a, b, by, also=["page"], **k).collect()} for k in ({}, {"rows_each": 4}))
+        assert whole == parts and len(whole) > 20 and all(r[-1] == f"p{r[-5] % 4}" for r in whole)
+        assert not by or {r[0] for r in whole} == {1, 2}
+
+
+def test_close_forms_against_difflib():
+    from difflib import SequenceMatcher
+
+    rnd = random.Random(7)
+    texts = ["".join(rnd.choice(c) for _ in range(rnd.randint(1, 12))) for c in ("ab", "abc", "aeiourst ") for _ in range(60)] + ["ab" * 120, "ab" * 119 + "ba", "a" * 250, "é" * 3]
+    a, b = list(dict.fromkeys(texts[::2])), list(dict.fromkeys(texts[1::2] + ["ab" * 120]))
+    for least in (0.6, 0.85, 1.0):
+        want = {(i, j, r) for i, p in enumerate(a) for j, q in enumerate(b) if (r := SequenceMatcher(None, p, q).ratio()) >= least}
+        got = list(matching.close_forms(a, b, least))
+        assert set(got) == want and len(got) == len(want)
